@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, url_filter
+from . import exact_dedup, packing, url_filter
 
 #: fixed values: the rules that the URL query judges by
 URL_RULES = [
@@ -61,8 +61,13 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 """
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
+        "op5_packing": op5_packing,
         "op7_url_filter": op7_url_filter,
         "op9_exact_dedup": op9_exact_dedup,
     }
