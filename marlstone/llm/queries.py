@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, url_filter
+from . import exact_dedup, language, packing, quality, url_filter, warc
 
 #: fixed values: the rules that the URL query judges by
 URL_RULES = [
@@ -65,8 +65,36 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+#: base32 letter by letter from the bits of the hexadecimal digest
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY sha) AS first_id FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((('0x' || substr(sha, 1 + 5 * (i // 4)::INT, 5))::BIGINT) >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM g
+"""
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
+        "op3_language": op3_language,
+        "op6_warc": op6_warc,
+        "op10_quality": op10_quality,
         "op5_packing": op5_packing,
         "op7_url_filter": op7_url_filter,
         "op9_exact_dedup": op9_exact_dedup,
@@ -74,4 +102,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op6_warc": OP6_SQL, "op7_url_filter": OP7_SQL, "op9_exact_dedup": OP9_SQL}
