@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, packing, quality, url_filter, warc
+from . import exact_dedup, language, packing, quality, suffix_dedup, url_filter, warc
 
 #: fixed values: the rules that the URL query judges by
 URL_RULES = [
@@ -65,6 +65,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
@@ -92,6 +96,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op3_language": op3_language,
         "op6_warc": op6_warc,
         "op10_quality": op10_quality,
