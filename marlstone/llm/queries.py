@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, packing, quality, suffix_dedup, url_filter, warc
+from . import embedding_dedup, exact_dedup, language, packing, quality, suffix_dedup, url_filter, warc
 
 #: fixed values: the rules that the URL query judges by
 URL_RULES = [
@@ -61,6 +61,29 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 """
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+#: pairs as a join of equal labels; components by walking the links
+OP4_SQL = """
+WITH RECURSIVE n AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+walk(vec_id, seen) AS (
+  SELECT a, a FROM link UNION SELECT w.vec_id, l.b FROM walk w JOIN link l ON w.seen = l.a),
+c AS (SELECT vec_id, min(seen) AS component_id FROM walk GROUP BY vec_id),
+k AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(k.n_links, 0) AS n_links, coalesce(c.component_id, e.vec_id) AS component_id,
+  coalesce(c.component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN c USING (vec_id) LEFT JOIN k USING (vec_id)
+"""
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -100,6 +123,7 @@ def queries() -> dict:
         "op3_language": op3_language,
         "op6_warc": op6_warc,
         "op10_quality": op10_quality,
+        "op4_embedding_dedup": op4_embedding_dedup,
         "op5_packing": op5_packing,
         "op7_url_filter": op7_url_filter,
         "op9_exact_dedup": op9_exact_dedup,
@@ -107,4 +131,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL, "op7_url_filter": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op4_embedding_dedup": OP4_SQL, "op6_warc": OP6_SQL, "op7_url_filter": OP7_SQL, "op9_exact_dedup": OP9_SQL}
