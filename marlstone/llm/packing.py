@@ -6,21 +6,24 @@ bounded size that are independent of each other, so packing is one task per bin
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytesops import text_slices
 from .common import stage, with_id
 
 WINDOW = 2048
 END_ID = 1
 #: pieces to a bin on average: bounds a packing task, and the padding of its last windows stays under 1 in 10,000
 BIN_PIECES = 50_000
-#: distinct words whose ids a worker remembers before it forgets them all
-CACHE_WORDS = 1_000_000
+#: distinct words whose ids a worker remembers
+CACHE_WORDS = 1_600_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
@@ -34,36 +37,61 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Token ids of texts, as little-endian unsigned 32-bit bytes, with a bounded memory of words.
 
-    The tokenizer never joins across a blank or a line feed, so a text's ids are its words' ids in a
-    row; a text that holds a special token's string, which may contain what looks like a word, goes to
-    the tokenizer whole.
+    The tokenizer never joins across a blank or a line feed and takes no notice of case, so a text's ids are
+    the ids of its lower-cased words in a row. Only texts whose characters all lie below U+0100,
+    where lower case and normal form are plain, are lower-cased here; a text that may hold a special
+    token's string goes to the tokenizer whole. The memory has two generations of half the bound
+    each: words that come up again move to the younger one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, bound: int = CACHE_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.half = bound // 2
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
-    def ids(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self._encode([text])[0]
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            known = self.known
-            missing = [w for w in set(words) if w not in known]
-            if len(self.known) + len(missing) > CACHE_WORDS:
-                self.known = {"": b""}
-                missing = list(set(words) - {""})
-            self.known.update(zip(missing, self._encode(missing)))
-            return b"".join(map(self.known.__getitem__, words))
+    def ids(self, texts: list[str]) -> list[bytes]:
+        split: list[list[str] | None] = []
+        distinct: set[str] = set()
+        for text in texts:
+            if any(m in text for m in self.marks):
+                split.append(None)
+                continue
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+            split.append(text.replace("\n", " ").split(" "))
+            distinct.update(split[-1])
+        missing = [w for w in distinct if w not in self.known]
+        if len(self.known) + len(missing) > self.half:
+            self.old, self.known = self.known, {"": b""}
+            missing = [w for w in distinct if w]
+        new = []
+        for w in missing:
+            held = self.old.get(w)
+            if held is None:
+                new.append(w)
+            else:
+                self.known[w] = held
+        self.known.update(zip(new, self._encode(new)))
+        find = self.known.__getitem__
+        return [self._encode([t])[0] if w is None else b"".join(map(find, w)) for t, w in zip(texts, split)]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One for each Python worker, which Spark keeps from task to task."""
+    return WordEncoder(path)
 
 
 def token_pieces(
@@ -76,23 +104,20 @@ def token_pieces(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer or default_tokenizer())
+        encoder = _encoder(tokenizer or default_tokenizer())
         end = np.asarray([end_id], "<u4").tobytes()
-        out: list[tuple] = []
-        held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.ids(text.as_py() or "") + end
-                total = len(ids) // 4
-                for start in range(0, total, window):
-                    part = ids[4 * start : 4 * (start + window)]
-                    out.append((doc_id, start, len(part) // 4, part, total))
-                    held += len(part)
-                if held > 4_000_000:
-                    yield _batch(out)
-                    out, held = [], 0
-        if out:
-            yield _batch(out)
+            doc_ids = batch.column(0).to_pylist()
+            for first, last, _, _ in text_slices(batch.column(1), 1_000_000):
+                texts = [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()]
+                out: list[tuple] = []
+                for doc_id, ids in zip(doc_ids[first:last], encoder.ids(texts)):
+                    ids += end
+                    total = len(ids) // 4
+                    for start in range(0, total, window):
+                        part = ids[4 * start : 4 * (start + window)]
+                        out.append((doc_id, start, len(part) // 4, part, total))
+                yield _batch(out)
 
     return with_id(docs, id_col, text_col).mapInArrow(run, PIECES)
 
