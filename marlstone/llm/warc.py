@@ -89,7 +89,7 @@ def write_warc(
         F.lit("\r\n"),  # the sink adds the second line end that closes a record
     )
     out = rows.withColumn("http", http).withColumn("body", body).select(record.alias("value"))
-    out.write.option("lineSep", "\r\n").option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // (longest + _HEAD_BYTES))).text(path)
+    out.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // (longest + _HEAD_BYTES))).text(path)
 
 
 def gzip_member(record: bytes) -> bytes:
@@ -154,27 +154,18 @@ def _checked(data, at: int) -> tuple[dict, int]:
     return {"type": kind, "headers": headers, "payload": payload, "digest": digest, "size": size}, end + 4
 
 
-def _inflate(data, at: int) -> tuple[bytes, int]:
-    """The gzip member at ``at`` and where it ends; Bad if its data or checksum are wrong."""
+def _inflate(data, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at ``at`` holds up to its first fault, where it ends, and the fault ('' if its checksum is right)."""
     inflate = zlib.decompressobj(31)
+    out = []
     try:
-        plain = inflate.decompress(data[at:])
+        for lo in range(at, len(data), 1 << 16):
+            out.append(inflate.decompress(data[lo : lo + (1 << 16)]))
+            if inflate.eof:
+                return b"".join(out), min(lo + (1 << 16), len(data)) - len(inflate.unused_data), ""
     except zlib.error as e:
-        raise Bad(f"gzip: {e}") from None
-    if not inflate.eof:
-        raise Bad("gzip member is cut short")
-    return plain, len(data) - len(inflate.unused_data)
-
-
-def _member(data, at: int) -> tuple[list[dict], int]:
-    plain, end = _inflate(data, at)
-    found, inside = [], 0
-    while inside < len(plain):
-        record, inside = _checked(plain, inside)
-        found.append(record)
-    if not found:
-        raise Bad("member without a record")
-    return found, end
+        return b"".join(out), len(data), f"gzip: {e}"
+    return b"".join(out), len(data), "gzip member is cut short"
 
 
 def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
@@ -182,31 +173,41 @@ def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
 
     An archive is plain or has one or more records to a gzip member. After a failed check the reader looks
     for the next version line or gzip member from which a record can be read whole, goes on there,
-    and quarantines the bytes it passed over. An empty archive has neither records nor gaps.
+    and quarantines the bytes it passed over. Of a damaged member the records before the fault
+    are kept. An empty archive has neither records nor gaps.
     """
     records: list[dict] = []
     gaps: list[tuple[int, int, str]] = []
     at = 0
     gap, reason = None, ""
     while at < len(data):
-        try:
-            if data[at : at + 2] == b"\x1f\x8b":
-                found, to = _member(data, at)
-            else:
+        found: list[dict] = []
+        fault = ""
+        if data[at : at + 2] == b"\x1f\x8b":
+            plain, to, fault = _inflate(data, at)
+            found, inside = salvage(plain) if plain else ([], [])
+            if fault:
+                inside = []
+        else:
+            inside = []
+            try:
                 one, to = _checked(data, at)
                 found = [one]
-        except Bad as e:
+            except Bad as e:
+                fault = str(e)
+        for r in found:
+            r["offset"] = at
+        records += found
+        if fault:
             if gap is None:
-                gap, reason = at, str(e)
+                gap, reason = at, fault
             nexts = [x for x in (data.find(b"WARC/1.", at + 1), data.find(b"\x1f\x8b\x08", at + 1)) if x >= 0]
             at = min(nexts, default=len(data))
             continue
         if gap is not None:
             gaps.append((gap, at, reason))
             gap = None
-        for r in found:
-            r["offset"] = at
-        records += found
+        gaps += [(at, to, f"in the member, bytes {a} to {b}: {why}") for a, b, why in inside]
         at = to
     if gap is not None:
         gaps.append((gap, len(data), reason))
