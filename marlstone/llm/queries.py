@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, language, packing, quality, suffix_dedup, url_filter, warc
+from . import embedding_dedup, exact_dedup, language, ngram_join, packing, quality, suffix_dedup, url_filter, warc
 
 #: fixed values: the rules that the URL query judges by
 URL_RULES = [
@@ -92,6 +92,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(_table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(_table(spark, sf_dir, "documents"), words_each=4, percent=85)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
@@ -120,6 +124,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_ngram_join": op2_ngram_join,
         "op3_language": op3_language,
         "op6_warc": op6_warc,
         "op10_quality": op10_quality,
