@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, language, ngram_join, packing, quality, suffix_dedup, url_filter, warc
+from . import embedding_dedup, exact_dedup, language, ngram_join, packing, quality, sentence_pieces, suffix_dedup, url_filter, warc
 
 #: fixed values: the rules that the URL query judges by
 URL_RULES = [
@@ -117,6 +117,10 @@ FROM g
 """
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -131,6 +135,7 @@ def queries() -> dict:
         "op4_embedding_dedup": op4_embedding_dedup,
         "op5_packing": op5_packing,
         "op7_url_filter": op7_url_filter,
+        "op8_sentence_pieces": op8_sentence_pieces,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
