@@ -386,7 +386,7 @@ def delete_docs(spark, sf):
 
 def upsert_docs(spark, sf):
     d = _table(spark, sf, "documents")
-    new = d.where("doc_id % 10 = 0").select("doc_id", F.upper("text").alias("text"))
+    new = d.where("doc_id % 10 = 0").select("doc_id", F.reverse("text").alias("text"))
     return store.upsert(d.select("doc_id", "text"), new, new)
 
 
