@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from marlstone import oracles, queries
@@ -25,7 +26,7 @@ def plain(frame):
     columns = sorted(frame.columns)
 
     def show(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "~"
         if isinstance(v, bool) or type(v).__name__ == "bool":
             return str(bool(v))
