@@ -86,7 +86,7 @@ def close_pairs(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[np.
         far = np.sqrt(np.maximum(0, 2 - 2 * (a.x[centers_a[ci]] @ b.x[centers_b[cj]].T)))
         u, v = np.nonzero(far <= radius_a[ci][:, None] + radius_b[cj][None] + reach)
         u, v = ci[u], cj[v]
-        if a is b:
+        if a is b and i == j:
             u, v = u[u <= v], v[u <= v]
         inner = np.array([a.children[k] is not None for k in u], bool) | np.array([b.children[k] is not None for k in v], bool)
         todo += zip(u[inner].tolist(), v[inner].tolist())
