@@ -53,7 +53,7 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, at least ``n`` of each."""
-    size = 1 << 21
+    size = 1 << 20
     while size < n:
         size *= 2
     return _power_table(size)

@@ -6,13 +6,37 @@ retried task after a lost executor, can read them again.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
+_worker: dict[str, object] = {}
+Held = TypeVar("Held")
+
+
+def worker_state(name: str, make: Callable[[], Held]) -> Held:
+    """What an operator keeps from task to task in a Python worker. Spark uses workers again for other operators, so what another one left is freed first."""
+    if name not in _worker:
+        free_worker()
+        _worker[name] = make()
+    return _worker[name]
+
+
+def free_worker() -> None:
+    """Give back what operators kept in this Python worker; the first thing that a task with large arrays does."""
+    if _worker:
+        _worker.clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+        if trim:
+            trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import text_slices
+from .common import free_worker
 from .quality import hash_fold
 
 #: labelled rows that a fit reads at most, and windows of a row that it trains on
@@ -168,6 +169,7 @@ def fit(docs: DataFrame, fold: Column, rows: int = FIT_ROWS) -> bytes | None:
     one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         own = [b for b in batches if b.num_rows]
         if not own:
             return
@@ -225,6 +227,7 @@ def identify(docs: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         net = ByteCNN.load(sent.value)
         tables = net.tables()
         for batch in batches:

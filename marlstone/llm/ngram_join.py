@@ -1,13 +1,13 @@
 """Jaccard join of documents on sets of word n-grams, with token-combination prefixes.
 
-1. Every document's distinct shingles are hashed. Shingles of a fixed range of hashes are counted over the
-   whole corpus; a document in which so many occur nowhere else that no other can reach the
-   similarity is done. The rest are the candidates, equal sets merged.
+1. Every document's distinct shingles are hashed and counted over the whole corpus. A document in which so
+   many occur in no other set that none can reach the similarity is done. The rest are the
+   candidates, equal sets merged.
 2. Tokens are ordered, rare ones first. A document's prefix is extended until it must share one rare token,
    or two frequent ones, with every document it can link to. Rare tokens are indexed singly, frequent
    tokens by pairs.
 3. Documents under one index key are compared with a pivot of the key; keys whose documents are not in
-   one component then get further pivots, eight times as many each round, until every pair that
+   one component then get further pivots, 64 times as many each round, until every pair that
    shares a key was compared or lies in one component. Comparisons are exact.
 """
 
@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bytesops import LOWER, U, mix, prefix_hash, span_hash, text_slices, words
-from .common import components, partitions, stage, unstage, with_id
+from .common import components, free_worker, partitions, stage, unstage, with_id
 
 WORDS, PERCENT = 5, 80
-#: share of the hash range whose shingles are counted over the corpus, in 256ths
-COUNTED = 96
 #: prefix lists in which a token is frequent
 FREQUENT = 512
-_SLICE = 4_000_000
+_SLICE = 2_000_000
+#: pairs that are compared at once
+_PAIRS = 500
+#: tokens of a set whose sketch keeps 16 bits of each; larger sets keep 32
+_SHORT = 4_096
 _NEXT = U(0x9E3779B97F4A7C15)
 
 
@@ -70,91 +72,166 @@ def prefix_size(n, percent: int):
     return n + percent * -n // 100 + 1  # n - ceil(percent * n / 100) + 1
 
 
+def _digests(token: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two digests of each text's set; 0 for an empty one."""
+    one, two = np.zeros(len(cuts) - 1, np.uint64), np.zeros(len(cuts) - 1, np.uint64)
+    some = np.flatnonzero(np.diff(cuts))
+    if len(some):
+        one[some] = np.add.reduceat(mix(token ^ U(0x5851F42D4C957F2D)), cuts[some])
+        two[some] = np.bitwise_xor.reduceat(mix(token + U(0x14057B7EF767814F)), cuts[some])
+    return one, two
+
+
 def _count_messages(k: int, buckets: int):
-    """Per slice and bucket of hashes: the slice's tokens of the counted range with the document of each."""
+    """Per slice and bucket of hashes: the slice's tokens, 32 bits of each, and the digest of the set and the document it is in.
+
+    A bucket holds a bounded share of the hash range, so 32 bits tell its tokens apart but for few; two that fall
+    together only make a token seem shared. A token that different sets of a slice share is sent once,
+    as document 65535, so a very common token is a row per slice.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for first, last, flat, offsets in text_slices(batch.column(1), _SLICE):
-                token, cuts = shingles(flat, offsets, k)
-                own = ids[first:last]
-                name = int(mix(np.array([own[0], len(flat)], np.int64).view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
-                doc = np.repeat(np.arange(len(own), dtype=np.uint32), np.diff(cuts))
-                use = (token >> U(56)) < COUNTED
-                token, doc = token[use], doc[use]
-                bucket = (mix(token) % U(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                token, doc = token[order], doc[order]
-                edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows = [(-1, name, own.tobytes(), np.diff(cuts).tobytes())]
-                for b in np.flatnonzero(np.diff(edge)).tolist():
-                    rows.append((b, name, token[edge[b] : edge[b + 1]].tobytes(), doc[edge[b] : edge[b + 1]].tobytes()))
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "slice", "tokens", "docs"])
+                for lo in range(first, last, 60_000):
+                    hi = min(last, lo + 60_000)
+                    a, z = offsets[lo - first], offsets[hi - first]
+                    token, cuts = shingles(flat[a:z], offsets[lo - first : hi - first + 1] - a, k)
+                    yield _message(ids[lo:hi], token, cuts, buckets)
 
     return run
 
 
+def _message(own: np.ndarray, token: np.ndarray, cuts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    name = int(mix(np.array([own[0], len(token)], np.int64).view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
+    doc = np.repeat(np.arange(len(own), dtype=np.uint16), np.diff(cuts))
+    digest, second = _digests(token, cuts)
+    spread = mix(token)
+    order = np.argsort(spread, kind="stable")
+    spread, doc = spread[order], doc[order]
+    if len(spread):
+        opens = np.flatnonzero(np.concatenate(([True], spread[1:] != spread[:-1])))
+        held = digest[doc]
+        mixed = np.minimum.reduceat(held, opens) != np.maximum.reduceat(held, opens)
+        size = np.diff(np.append(opens, len(spread)))
+        mixed_row = np.repeat(mixed, size)
+        doc = np.where(mixed_row, np.uint16(65535), doc)
+        keep = ~mixed_row
+        keep[opens[mixed]] = True
+        spread, doc = spread[keep], doc[keep]
+    bucket = (spread >> U(40)).astype(np.int64) * buckets >> 24  # by range, so that the order of hashes is the order of buckets
+    edge = np.searchsorted(bucket, np.arange(buckets + 1))
+    short = (spread & U(0xFFFFFFFF)).astype("<u4")
+    rows = [(-1, name, own.tobytes(), np.diff(cuts).tobytes(), digest.tobytes() + second.tobytes())]
+    for b in np.flatnonzero(np.diff(edge)).tolist():
+        part = doc[edge[b] : edge[b + 1]]
+        sets = np.unique(part[part < 65535])
+        rows.append((b, name, short[edge[b] : edge[b + 1]].tobytes(), part.astype("<u2").tobytes(), sets.astype("<u2").tobytes() + digest[sets].tobytes()))
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "slice", "tokens", "docs", "sets"])
+
+
 def _unique_here(table: pa.Table) -> pa.Table:
-    """In one bucket: for each slice how many tokens of each of its documents occur in no other document."""
+    """In one bucket: for each slice how many tokens of each of its documents occur in no other set."""
     names = table.column("slice").to_pylist()
-    tokens = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
-    docs = [np.frombuffer(x, np.uint32) for x in table.column("docs").to_pylist()]
-    every = np.concatenate(tokens)
+    tokens = [np.frombuffer(x, "<u4") for x in table.column("tokens").to_pylist()]
+    docs = [np.frombuffer(x, "<u2") for x in table.column("docs").to_pylist()]
+    held = []
+    for doc, x, serial in zip(docs, table.column("sets").to_pylist(), range(len(docs))):
+        n = len(x) // 10
+        of = np.empty(65536, np.uint64)
+        of[np.frombuffer(x, "<u2", n)] = np.frombuffer(x, np.uint64, n, 2 * n)
+        of[65535] = mix(np.array([serial], np.uint64))[0]  # no set's digest, and another one in each slice
+        held.append(of[doc])
+    every, held, shared = np.concatenate(tokens), np.concatenate(held), np.concatenate(docs) == 65535
     order = np.argsort(every, kind="stable")
-    sorted_ = every[order]
-    differ = np.ones(len(every) + 1, bool)
-    differ[1:-1] = sorted_[1:] != sorted_[:-1]
+    in_order = every[order]
+    opens = np.flatnonzero(np.concatenate(([True], in_order[1:] != in_order[:-1])))
+    digest = held[order]
+    one = np.minimum.reduceat(digest, opens) == np.maximum.reduceat(digest, opens)
     lone = np.empty(len(every), bool)
-    lone[order] = differ[1:] & differ[:-1]
+    lone[order] = np.repeat(one, np.diff(np.append(opens, len(every))))
+    lone &= ~shared
     out, at = [], 0
     for doc in docs:
         out.append(np.bincount(doc[lone[at : at + len(doc)]]).astype(np.uint32).tobytes())
         at += len(doc)
-    return pa.table({"slice": pa.array(names, pa.int64()), "ids": pa.array([None] * len(names), pa.binary()), "sizes": pa.array([None] * len(names), pa.binary()), "lone": pa.array(out, pa.binary())})
+    none = pa.array([None] * len(names), pa.binary())
+    return pa.table({"slice": pa.array(names, pa.int64()), "ids": none, "sizes": none, "sets": none, "lone": pa.array(out, pa.binary())})
 
 
 def _sum_slice(table: pa.Table) -> pa.Table:
-    heads = [(np.frombuffer(i, np.int64), np.frombuffer(s, np.int64)) for i, s in zip(table.column("ids").to_pylist(), table.column("sizes").to_pylist()) if i is not None]
-    longest = max(len(h[0]) for h in heads)
-    lone = np.zeros(longest, np.int64)
+    """The sums of a slice's messages: (doc_id, n, lone, one, two)."""
+    heads = []
+    for ids, sizes, sets in zip(*(table.column(c).to_pylist() for c in ("ids", "sizes", "sets"))):
+        if ids is not None:
+            heads.append((np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64), np.frombuffer(sets, np.int64).reshape(2, -1)))
+    lone = np.zeros(max(len(h[0]) for h in heads), np.int64)
     for x in table.column("lone").to_pylist():
         if x is not None:
             part = np.frombuffer(x, np.uint32)
             lone[: len(part)] += part
-    if len(heads) > 1:  # slices that share a name: nothing is known to be unique
+    if len(heads) > 1:  # slices that share a name: nothing is known to be lone
         lone[:] = 0
-    return pa.concat_tables(pa.table({"doc_id": i, "n": s, "lone": lone[: len(i)]}) for i, s in heads)
+    return pa.concat_tables(pa.table({"doc_id": i, "n": s, "lone": lone[: len(i)], "one": d[0], "two": d[1]}) for i, s, d in heads)
+
+
+def _sketch(token: np.ndarray) -> bytes:
+    """The low bits of a set's tokens, distinct and in order."""
+    return np.unique(token.astype("<u2" if len(token) <= _SHORT else "<u4")).tobytes()
+
+
+def _may_link(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
+    """False only if the sketches prove that two sets of ``n`` and ``m`` tokens are not as similar as asked.
+
+    Common tokens have common low bits, of which at most as many coincide as each sketch is shorter than its set.
+    """
+    x, y = np.frombuffer(x, "<u2" if n <= _SHORT else "<u4"), np.frombuffer(y, "<u2" if m <= _SHORT else "<u4")
+    if x.dtype != y.dtype:
+        x, y = np.unique(x.astype("<u2")), np.unique(y.astype("<u2"))
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    most = int((both[1:] == both[:-1]).sum()) + min(n - len(x), m - len(y))
+    return 100 * most >= percent * (n + m - most)
+
+
+def _pruned(percent: int):
+    """Of pairs (a, b, n, sketch of a, m, sketch of b) those that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(2, 6)]
+            keep = [_may_link(*r, percent) for r in zip(*columns)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _profiles(k: int, percent: int):
-    """Candidates: size, digest of the set, and its prefix list by hash, a quarter longer than a prefix of rare tokens."""
+    """Candidates: the sketch of the set, and its prefix list by hash, a quarter longer than a prefix of rare tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
             for first, last, flat, offsets in text_slices(batch.column(1), _SLICE):
                 token, cuts = shingles(flat, offsets, k)
                 n = np.diff(cuts)
-                some = np.flatnonzero(n)
-                if not len(some):
-                    continue
-                one = np.add.reduceat(mix(token ^ U(0x5851F42D4C957F2D)), cuts[some])
-                two = np.bitwise_xor.reduceat(mix(token + U(0x14057B7EF767814F)), cuts[some])
-                take = np.minimum(n[some], (prefix_size(n[some], percent) * 5 + 3) // 4 + 1)
-                lists = np.concatenate([token[c : c + t] for c, t in zip(cuts[some], take)]).view(np.int64)
-                ids = batch.column(0).slice(first, last - first).take(pa.array(some))
+                take = np.where(n > 0, np.minimum(n, (prefix_size(n, percent) * 5 + 3) // 4 + 1), 0)
+                lists = [token[c : c + t] for c, t in zip(cuts, take)]
+                sketches = [_sketch(token[c:d]) for c, d in zip(cuts[:-1], cuts[1:])]
                 edges = pa.array(np.concatenate(([0], np.cumsum(take))), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n[some]), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(edges, pa.array(lists))],
-                    ["doc_id", "n", "one", "two", "head"],
-                )
+                heads = pa.ListArray.from_arrays(edges, pa.array(np.concatenate(lists).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sketches, pa.binary()), heads], ["doc_id", "sketch", "head"])
 
     return run
 
 
 def _all_tokens(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
             for first, last, flat, offsets in text_slices(batch.column(1), _SLICE):
                 token, cuts = shingles(flat, offsets, k)
@@ -170,6 +247,7 @@ def _prefix_keys(percent: int):
     """Index keys of documents whose tokens are all classified: rare tokens singly, frequent ones by pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
             for doc, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
                 v = rows.values
@@ -194,40 +272,41 @@ def _prefix_keys(percent: int):
 def _verified(k: int, percent: int):
     """Of pairs (a, b, text of a, text of b) those that link."""
 
+    def tokens(column) -> list[np.ndarray]:
+        out = []
+        for _, _, flat, offsets in text_slices(column, _SLICE):
+            token, cuts = shingles(flat, offsets, k)
+            out += [token[c:d] for c, d in zip(cuts[:-1], cuts[1:])]
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
-            sets = []
-            for column in (batch.column(2), batch.column(3)):
-                own = []
-                for _, _, flat, offsets in text_slices(column, _SLICE):
-                    token, cuts = shingles(flat, offsets, k)
-                    own += [token[c:d] for c, d in zip(cuts[:-1], cuts[1:])]
-                sets.append(own)
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(*sets)):
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            for lo in range(0, batch.num_rows, _PAIRS):
+                part = batch.slice(lo, _PAIRS)
+                keep = np.zeros(part.num_rows, bool)
+                for i, (x, y) in enumerate(zip(tokens(part.column(2)), tokens(part.column(3)))):
+                    both = np.concatenate((x, y))
+                    both.sort(kind="stable")
+                    common = int((both[1:] == both[:-1]).sum())
+                    keep[i] = common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+                yield part.select([0, 1]).filter(pa.array(keep))
 
     return run
 
 
-def _candidates(lean: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(sizes of all documents, texts of the candidates): both staged."""
+def _sets(lean: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n, lone, one, two) of all documents, staged: size of the set, its tokens that no other set has, two digests of it."""
     spark = lean.sparkSession
     buckets = partitions(spark, 8)
-    messages = stage(lean.mapInArrow(_count_messages(k, buckets), "bucket long, slice long, tokens binary, docs binary"), "counts")
-    parts = "slice long, ids binary, sizes binary, lone binary"
-    heads = messages.where("bucket < 0").select("slice", F.col("tokens").alias("ids"), F.col("docs").alias("sizes"), F.lit(None).cast("binary").alias("lone"))
+    messages = stage(lean.mapInArrow(_count_messages(k, buckets), "bucket long, slice long, tokens binary, docs binary, sets binary"), "counts")
+    parts = "slice long, ids binary, sizes binary, sets binary, lone binary"
+    heads = messages.where("bucket < 0").select("slice", F.col("tokens").alias("ids"), F.col("docs").alias("sizes"), "sets", F.lit(None).cast("binary").alias("lone"))
     counted = messages.where("bucket >= 0").groupBy("bucket").applyInArrow(_unique_here, parts)
-    sizes = stage(heads.unionByName(counted).groupBy("slice").applyInArrow(_sum_slice, "doc_id long, n long, lone long"), "sizes")
+    found = heads.unionByName(counted).groupBy("slice").applyInArrow(_sum_slice, "doc_id long, n long, lone long, one long, two long")
+    out = stage(found, "sizes")
     unstage(messages)
-    p = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    wanted = sizes.where((F.col("n") > 0) & (F.col("lone") < p)).select(F.col("doc_id").alias("__id")).distinct()
-    texts = stage(lean.join(wanted, lean.doc_id == F.col("__id"), "left_semi"), "candidates")
-    return sizes, texts
+    return out
 
 
 def _index(reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -262,10 +341,15 @@ def _index(reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame
         .agg(F.collect_list(F.struct("key", F.coalesce("often", F.lit(False)).alias("often"))).alias("tokens"))
         .mapInArrow(_prefix_keys(percent), "doc_id long, n long, key long")
     )
-    by_key = Window.partitionBy("key").orderBy("doc_id")
     rows = stage(plain.unionByName(whole.select("doc_id", "n", "key")), "keys")
-    shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    return stage(rows.join(shared, "key").withColumn("at", F.row_number().over(by_key)), "index")
+    shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    rows = stage(rows.join(shared, "key"), "shared-keys")
+    # the document that shares most with others comes first under its keys: as a pivot it links most of them at once
+    central = rows.groupBy("doc_id").agg(F.sum("c").alias("weight"))
+    by_key = Window.partitionBy("key").orderBy(F.desc("weight"), "doc_id")
+    # what a set can share with others: all but its lone tokens
+    central = central.join(reps.select("doc_id", (F.col("n") - F.col("lone")).alias("most")), "doc_id")
+    return stage(rows.drop("c").join(central, "doc_id").withColumn("at", F.row_number().over(by_key)).drop("weight"), "index")
 
 
 def link_documents(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,61 +363,70 @@ def link_documents(docs: DataFrame, words_each: int = WORDS, percent: int = PERC
     """
     base = with_id(docs, id_col, text_col)
     lean = base.where("doc_id is not null")
-    sizes, texts = _candidates(lean, words_each, percent)
-    profiles = stage(
-        texts.mapInArrow(_profiles(words_each, percent), "doc_id long, n long, one long, two long, head array<long>"), "profiles"
-    )
-    classes = stage(
-        profiles.groupBy("n", "one", "two").agg(F.min("doc_id").alias("doc_id"), F.first("head").alias("head"), F.count("*").alias("copies")), "sets"
-    )
-    index = _index(classes.select("doc_id", "n", "head"), texts, words_each, percent)
-    links = _resolve(index, texts, words_each, percent)
-    named = components(links)
-    own = (
-        profiles.select("doc_id", "n", "one", "two")
-        .join(classes.select("n", "one", "two", F.col("doc_id").alias("rep")), ["n", "one", "two"])
-        .join(named, F.col("rep") == F.col("node"), "left")
-        .groupBy("doc_id")
-        .agg(F.min(F.coalesce("component", "rep")).alias("component"))
-    )
-    every = sizes.groupBy("doc_id").agg(F.max("n").alias("n"))
-    return (
-        every.join(own, "doc_id", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    )
-
-
-def _resolve(index: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    sizes = _sets(lean, words_each)
+    by = ["n", "one", "two"]
+    classes = sizes.where("n > 0").groupBy(*by).agg(F.min("doc_id").alias("rep"), F.max("lone").alias("lone"))
+    p = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    wanted = stage(classes.where(F.col("lone") < p).select("rep", "n", "lone"), "wanted")
+    texts = stage(lean.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "candidates")
+    profiles = texts.mapInArrow(_profiles(words_each, percent), "doc_id long, sketch binary, head array<long>")
+    sets = stage(profiles.dropDuplicates(["doc_id"]).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id"), "sets")
+    index = _index(sets.select("doc_id", "n", "lone", "head"), texts, words_each, percent)
+    named = components(_resolve(index, sets.select("doc_id", "n", "sketch"), texts, words_each, percent))
+    # every document has the component of the first document with its set
+    placed = classes.select(*by, "rep").join(named, F.col("rep") == F.col("node"), "left").select(*by, F.coalesce("component", "rep").alias("component"))
+    every = sizes.groupBy("doc_id").agg(F.max(F.struct(*by)).alias("s")).select("doc_id", "s.*")
+    return every.join(placed, by, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _resolve(index: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """All links that matter for components: pairs (a, b) of the pivots' comparisons that link."""
     spark = index.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     done = links
     last = index.agg(F.max("at")).first()[0] or 0
     low, high = 1, 2  # pivots are the documents numbered low to high - 1 under their key
-    open_ = index.withColumn("component", F.col("doc_id"))
+    open_, named = index.withColumn("component", F.col("doc_id")), None
     while low <= last:
-        pivot = open_.where(F.col("at").between(low, high - 1)).select("key", F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("component").alias("pc"))
+        common = F.least("most", "pmost")  # at most, so this also bounds how far apart the sizes are
+        pivot = open_.where(F.col("at").between(low, high - 1)).select(
+            "key", F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("most").alias("pmost"), F.col("at").alias("pat"), F.col("component").alias("pc")
+        )
+        rows, once = open_, F.lit(True)
+        if low > 1:  # a pair is made once, at the least key where it can be: each side knows its keys
+            pivot = pivot.join(pivot.groupBy("p").agg(F.collect_list("key").alias("pivot_keys")), "p")
+            rows = open_.join(open_.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "doc_id")
+            once = F.col("key") == F.array_min(F.array_intersect("pivot_keys", "keys"))
         pairs = (
-            open_.join(pivot, "key")
+            rows.join(pivot, "key")
             .where("at > pat and component <> pc")
-            .where(F.lit(100) * F.least("n", "pn") >= F.lit(percent) * F.greatest("n", "pn"))
+            .where(F.lit(100) * common >= F.lit(percent) * (F.col("n") + F.col("pn") - common))
+            .where(once)
             .select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b"))
             .distinct()
         )
         pairs = stage(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        likely = stage(
+            pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
+            .join(sets.select(F.col("doc_id").alias("a"), "n", F.col("sketch").alias("x")), "a")
+            .select("a", "b", "n", "x", "m", "y")
+            .mapInArrow(_pruned(percent), "a long, b long"),
+            "likely",
+        )
         found = stage(
-            pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+            likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
             .select("a", "b", "text_a", "text_b")
             .mapInArrow(_verified(k, percent), "a long, b long"),
             "links",
         )
         links, done = links.unionByName(found), done.unionByName(pairs)
-        low, high = high, high * 8
+        low, high = high, high * 64
         if low > last:
             break
-        named = components(links)
-        placed = index.join(named, index.doc_id == named.node, "left").select("key", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("component"))
+        if named is None or not found.isEmpty():
+            named = components(links)
+        placed = index.join(named, index.doc_id == named.node, "left").select("key", "doc_id", "n", "most", "at", F.coalesce("component", "doc_id").alias("component"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("at").alias("top")).where((F.col("x") != F.col("y")) & (F.col("top") > low)).select("key")
         open_ = stage(placed.join(mixed, "key", "left_semi"), "open")
         last = open_.agg(F.max("at")).first()[0] or 0

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import text_slices
-from .common import stage, with_id
+from .common import stage, with_id, worker_state
 
 WINDOW = 2048
 END_ID = 1
@@ -88,12 +87,6 @@ class WordEncoder:
         return [self._encode([t])[0] if w is None else b"".join(map(find, w)) for t, w in zip(texts, split)]
 
 
-@lru_cache(maxsize=1)
-def _encoder(path: str) -> WordEncoder:
-    """One for each Python worker, which Spark keeps from task to task."""
-    return WordEncoder(path)
-
-
 def token_pieces(
     docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -104,7 +97,8 @@ def token_pieces(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer or default_tokenizer())
+        path = tokenizer or default_tokenizer()
+        encoder = worker_state(f"packing {path}", lambda: WordEncoder(path))
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytesops import U, mix, prefix_hash, span_hash, text_slices, words
+from .common import free_worker
 
 #: labelled rows that a fit reads at most: those with the smallest hash of their id
 FIT_ROWS = 6_000
@@ -127,6 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column, rows: int = FIT_ROWS,
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         own = [b for b in batches if b.num_rows]
         table = pa.Table.from_batches(own).sort_by([("at", "ascending"), ("doc_id", "ascending")]) if own else None
         found = fit_ftrl([], np.zeros(0))
@@ -136,7 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column, rows: int = FIT_ROWS,
         yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], ["weights"])
 
     one = sample.select(F.xxhash64("doc_id").alias("at"), "doc_id", "text", "label").repartition(1)
-    return np.frombuffer(one.mapInArrow(run, "weights binary").first()["weights"], np.float32)
+    found = one.mapInArrow(run, "weights binary").take(1)
+    return np.frombuffer(found[0]["weights"], np.float32) if found else fit_ftrl([], np.zeros(0))
 
 
 def add_score(docs: DataFrame, weights: np.ndarray, name: str = "__score") -> DataFrame:
@@ -145,6 +148,7 @@ def add_score(docs: DataFrame, weights: np.ndarray, name: str = "__score") -> Da
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
             score = pa.array(score_column(batch.column(at), sent.value), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, name])

@@ -12,7 +12,6 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U, mix, text_slices
-from .common import with_id
+from .common import with_id, worker_state
 
 SPACE = "▁"
 #: distinct units that a worker remembers
@@ -282,10 +281,8 @@ class PieceEncoder:
         return out.decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=1)
 def _encoder(path: str) -> PieceEncoder:
-    """One for each Python worker, which Spark keeps from task to task."""
-    return PieceEncoder(Pieces.load(path))
+    return worker_state(f"pieces {path}", lambda: PieceEncoder(Pieces.load(path)))
 
 
 def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

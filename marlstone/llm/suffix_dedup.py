@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .bytesops import U, mix, powers, prefix_hash, span_hash, text_slices
 from .collection_bwt import suffixes
-from .common import partitions, stage, with_id
+from .common import free_worker, partitions, stage, with_id
 
 SPAN = 100
 ANCHOR = 48
@@ -99,6 +99,7 @@ def _runs(span: int, k: int):
     """Stage A, per slice of texts: runs that may be first of their content, and ranges that a run of the slice already shows to be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for first, last, flat, offsets in text_slices(batch.column(1), _SLICE):
@@ -137,6 +138,7 @@ def _first_of_content(span: int):
     """Stage B, over runs sorted by (anchor, content, doc_id, start): ranges that repeat an earlier run, and the runs whose anchor has several contents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         held = None  # the first run of the last anchor, not yet known to have company
         last = None
         several = False
@@ -195,6 +197,7 @@ def _strings(span: int):
     """Stage C: the bytes of each run that goes on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
             out: list[tuple] = []
             held = 0
@@ -278,6 +281,7 @@ def _collections(span: int):
         return _ranges(d, s, s + span)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         parts: list[tuple] = []
         size, last = 0, None
         for batch in batches:
@@ -334,6 +338,7 @@ def _cut(text_at: int, columns: list[int], decode: bool):
     """Cut the gathered ranges out of each text: the columns asked for, then what is left and the counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
             size, removed, spans, kept, rest = [], [], [], [], []
             for text, ranges in zip(batch.column(text_at), batch.column(batch.num_columns - 1)):
