@@ -64,7 +64,7 @@ def tabular_line(line: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """The lines that are not blank."""
-    parts = F.split(F.coalesce(text, F.lit("")), "\r\n|[\n\r\x0B\x0C\x1c-\x1e\x85  ]")
+    parts = F.split(F.coalesce(text, F.lit("")), "\r\n|[\n\r\x0B\x0C\x1c-\x1e\x85\u2028\u2029]")
     return F.filter(parts, lambda s: s.rlike(r"(?U)[^\s\x1c-\x1f\x85]"))
 
 

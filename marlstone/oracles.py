@@ -189,12 +189,12 @@ blended AS (SELECT * FROM (SELECT * EXCLUDE (pos), row_number() OVER (PARTITION
 
 
 _CANDIDATES = """
-q AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id < 40),
+q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
 cand AS (SELECT query_id, k AS pos, d.doc_id, CASE WHEN d.doc_id % 11 = 5 THEN '' ELSE d.text END AS text
   FROM q, range(30) r(k), documents d WHERE d.doc_id = (query_id * 31 + k * 17) % (SELECT count(*) FROM documents))"""
 _POOL = f"""{_CANDIDATES},
 ahits AS (SELECT query_id, pos AS rank, doc_id::VARCHAR AS doc_id, 'u' || doc_id AS unit_id, CASE WHEN text = '' THEN 'vision' ELSE 'text' END AS modality,
-  substr(text, 1, 1500) AS text, CASE WHEN text = '' THEN '/tiles/' || doc_id END AS image_path FROM cand WHERE pos < 5),
+  text, CASE WHEN text = '' THEN '/tiles/' || doc_id END AS image_path FROM cand WHERE pos < 5),
 sents AS (SELECT *, {_sentences("text")} AS parts FROM ahits),
 spread AS (SELECT query_id, rank, doc_id, unit_id, modality, image_path, len(parts) AS n, unnest(parts) AS sent, unnest(range(len(parts))) AS place_ FROM sents),
 pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, place_) - 1 AS idx FROM spread WHERE length(sent) >= 20 OR n = 1)"""
@@ -232,7 +232,7 @@ _JUDGED = f"""{_VISION},
 e AS (SELECT vec_id, label FROM embeddings),
 ranked AS (SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, b.unit_id, list_dot_product(a.v, b.v) AS score,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.v, b.v), 9) DESC, b.unit_id) - 1 AS rank FROM vision a, vision b WHERE a.vec_id % 20 = 0) WHERE rank < 10),
-qr AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, b.vec_id % 3 + 0.0 AS gain FROM e a JOIN e b USING (label) WHERE a.vec_id % 20 = 0 AND b.vec_id % 5 = 0),
+qr AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, b.vec_id % 3 + 0.0 AS gain FROM e a JOIN e b USING (label) WHERE a.vec_id % 20 = 0),
 good AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS i FROM qr WHERE gain > 0)"""
 
 
@@ -261,8 +261,8 @@ SELECT min(unit_id) AS unit_id, arg_min(doc_id, unit_id) AS doc_id, content_key,
 _RANKED_TIES = """
 r AS (SELECT vec_id % 20 AS query_id, CASE WHEN vec_id % 3 = 0 THEN 'vision' ELSE 'text' END AS modality, vec_id * 5 % 23 AS doc_id, vec_id AS unit_id,
   CASE WHEN vec_id % 20 = 3 THEN 0.5 ELSE vec_id * 37 % 11 / 10.0 END::DOUBLE AS score FROM embeddings),
-ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, modality ORDER BY score DESC, unit_id) - 1 AS rank FROM r) WHERE rank < 15),
-weights AS (SELECT vec_id AS query_id, (vec_id % 4 / 2.0)::DOUBLE AS text_weight, 1.5::DOUBLE AS vision_weight FROM embeddings WHERE vec_id < 20)"""
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, modality ORDER BY score DESC, unit_id) - 1 AS rank FROM r),
+weights AS (SELECT query_id, (query_id % 4 / 2.0)::DOUBLE AS text_weight, 1.5::DOUBLE AS vision_weight FROM (SELECT DISTINCT vec_id % 20 AS query_id FROM embeddings))"""
 
 _COUNTS = f"""WITH RECURSIVE {_CHUNKS}, v AS (SELECT vec_id % (SELECT count(*) FROM documents) AS doc_id, vec_id % 3 AS page FROM embeddings),
 n AS (SELECT (SELECT count(*) FROM chunks) AS t, (SELECT count(*) FROM v) AS v, (SELECT count(*) FROM (SELECT DISTINCT doc_id, page FROM v)) AS p)"""
@@ -273,7 +273,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_text": f"SELECT doc_id, {_clean('text')} AS text FROM documents",
         "tokenize": "SELECT doc_id, len(t) AS n, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)",
         "sentences": f"SELECT doc_id, unnest(range(len(s))) AS idx, unnest(s) AS sent FROM (SELECT doc_id, {_sentences('text')} AS s FROM documents)",
-        "looks_like_html": f"SELECT page_id, {_LIKE_HTML('html')} AS page_like, {_LIKE_HTML('substr(html, 500, 120)')} AS part_like FROM pages",
+        "looks_like_html": f"SELECT page_id, {_LIKE_HTML('html')} AS page_like, {_LIKE_HTML("regexp_replace(html, '<[a-z/]', '', 'g')")} AS bare_like FROM pages",
         "tabular_lines": f"SELECT doc_id, len({_LINES}) AS n_lines, len(list_filter({_LINES}, lambda s: {_TABULAR})) AS n_tabular FROM documents",
         "html_to_text": f"SELECT page_id, {_html_text('html')} AS text FROM pages",
         "html_richness": f"SELECT page_id, {_r(_html_score('html'))} AS score FROM (SELECT page_id, {_MEDIA} AS html FROM pages)",
@@ -336,11 +336,11 @@ SELECT query_id, '{PROMPT_HEAD}' || any_value(query) || chr(10) || chr(10) || 'S
         "index_tiles": "SELECT vec_id % (SELECT count(*) FROM documents) AS doc_id, count(*) AS tiles, count(DISTINCT vec_id % 3) AS pages FROM embeddings GROUP BY 1",
         "index_stats": f"{_COUNTS} SELECT t AS text_units, v AS vision_units, p AS pages, 0::BIGINT AS tiles_folded, (SELECT count(*) FROM (SELECT doc_id FROM chunks UNION SELECT doc_id FROM v)) AS documents FROM n",
         "index_footprint": f"{_COUNTS} SELECT t * 384 * 4 AS text_bytes, v * 512 * 4 AS vision_bytes FROM n",
-        "doc_ids": f"WITH RECURSIVE {_CHUNKS} SELECT doc_id FROM chunks WHERE doc_id % 3 = 0 UNION SELECT vec_id % (SELECT count(*) FROM documents) FROM embeddings",
+        "doc_ids": f"WITH RECURSIVE {_CHUNKS} SELECT doc_id FROM chunks UNION SELECT vec_id % (SELECT count(*) FROM documents) FROM embeddings",
         "delete_docs": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
-        "upsert_docs": "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN reverse(text) ELSE text END AS text FROM documents",
-        "qrels_normalize": """SELECT vec_id AS query_id, 'd' || vec_id AS doc_id, CASE WHEN vec_id % 2 = 0 THEN 1.0 ELSE 2.5 END::DOUBLE AS gain FROM embeddings WHERE vec_id < 50
-UNION ALL SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'x' ELSE 'y' END, CASE WHEN vec_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE FROM embeddings WHERE vec_id < 50""",
+        "upsert_docs": "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN reverse(text) ELSE text END AS text FROM documents",
+        "qrels_normalize": """SELECT vec_id AS query_id, 'd' || vec_id AS doc_id, CASE WHEN vec_id % 2 = 0 THEN 1.0 ELSE 2.5 END::DOUBLE AS gain FROM embeddings
+UNION ALL SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'x' ELSE 'y' END, CASE WHEN vec_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE FROM embeddings""",
         "distinct_pages": f"{_COUNTS} SELECT p AS pages FROM n",
         "cost_estimate": f"""{_COUNTS}, c AS (SELECT 'text' AS mode, t * 384 * 4 AS vb, t * 1024 AS ab, t / 1000.0::DOUBLE * 0.0001::DOUBLE AS iu, 0.000002::DOUBLE AS qu FROM n
   UNION ALL SELECT 'vision', v * 512 * 4, p * 307200 + v * 81920, v / 1000.0::DOUBLE * 0.02::DOUBLE + p * 0.0003::DOUBLE, 0.0004::DOUBLE FROM n),
@@ -357,6 +357,14 @@ rich AS (SELECT page_id FROM v WHERE greatest(CASE WHEN {_LIKE_HTML("text")} THE
 SELECT mode, k::BIGINT AS k, {_r('avg(hit)')} AS hit, {_r('avg(recall)')} AS recall, {_r('avg(precision)')} AS precision, {_r('avg(rr)')} AS mrr, {_r('avg(ndcg)')} AS ndcg FROM measured GROUP BY ALL""",
         "route_train": f"SELECT * FROM (VALUES {', '.join(f"('{f}', ({w})::DOUBLE)" for f, w in zip(('bias', 'text', 'vision', 'codeish', 'numeric', 'length'), SEED_WEIGHTS))}) t(feature, weight)",
     }
+    pieces = f"""WITH RECURSIVE {_MANIFEST}, documents AS (SELECT doc_id, coalesce(own, {_html_text('html')}) AS text, page_id FROM m), {_CHUNKS},
+v AS (SELECT page_id, {_html_text('html')} AS text FROM pages),
+rich AS (SELECT page_id FROM v WHERE greatest(CASE WHEN {_LIKE_HTML("text")} THEN {_html_score("text")} ELSE 0.0 END, {_LAYOUT}) >= 0.35),
+tiles AS (SELECT doc_id, unnest(['/a.png', '/' || doc_id || '.png']) AS image_path, page_id FROM m WHERE page_id % 5 = 0 OR own IS NOT NULL OR page_id IN (SELECT page_id FROM rich))"""
+    out["ingest_batch"] = f"""{pieces} SELECT doc_id, image_path, duplicate_count FROM (SELECT arg_min(doc_id, page_id) AS doc_id, image_path, count(*) AS duplicate_count FROM tiles GROUP BY image_path)
+UNION ALL SELECT doc_id, 'text', count(*) FROM chunks GROUP BY doc_id"""
+    out["ingest_stats"] = f"""{pieces} SELECT (SELECT count(*) FROM m) AS documents, (SELECT count(*) FROM m WHERE own IS NOT NULL) AS text_docs, (SELECT count(*) FROM m WHERE own IS NULL) AS html_docs,
+  (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM tiles) AS tiles, (SELECT count(DISTINCT doc_id) FROM tiles) AS docs_with_pixels"""
     out |= {f"fuse_{n}": f"WITH {_RANKED_TIES}, {_fused(n, 10)} {_SHOWN}" for n in _PARTS}
     out |= {f"eval_{n}": f"WITH {_JUDGED}, {_measured('ranked')} SELECT query_id, k::BIGINT AS k, {_r(c)} AS {c} FROM measured" for n, c in (("hit", "hit"), ("recall", "recall"), ("precision", "precision"), ("mrr", "rr"), ("ndcg", "ndcg"))}
     return out

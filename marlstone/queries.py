@@ -51,7 +51,7 @@ def sentences(spark, sf):
 
 def looks_like_html(spark, sf):
     p = _table(spark, sf, "pages")
-    return p.select("page_id", text.looks_like_html(F.col("html")).alias("page_like"), text.looks_like_html(F.substring("html", 500, 120)).alias("part_like"))
+    return p.select("page_id", text.looks_like_html(F.col("html")).alias("page_like"), text.looks_like_html(F.regexp_replace("html", "<[a-z/]", "")).alias("bare_like"))
 
 
 def tabular_lines(spark, sf):
@@ -237,11 +237,11 @@ def _ranked(spark, sf):
         (F.col("vec_id") * 5 % 23).alias("doc_id"), F.col("vec_id").alias("unit_id"), score.alias("score"),
     )
     order = Window.partitionBy("query_id", "modality").orderBy(F.desc("score"), "unit_id")
-    return rows.withColumn("rank", F.row_number().over(order) - 1).where("rank < 15")
+    return rows.withColumn("rank", F.row_number().over(order) - 1)
 
 
 def _weights(spark, sf):
-    q = _table(spark, sf, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"))
+    q = _table(spark, sf, "embeddings").select((F.col("vec_id") % 20).alias("query_id")).distinct()
     return q.select("query_id", (F.col("query_id") % 4 / 2.0).alias("text_weight"), F.lit(1.5).alias("vision_weight"))
 
 
@@ -291,7 +291,7 @@ def route_train(spark, sf):
 
 
 def _candidates(spark, sf):
-    q = _table(spark, sf, "benchmark").where("item_id < 40").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    q = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     n = _table(spark, sf, "documents").count()
     spread = q.select("query_id", F.posexplode(F.sequence(F.lit(0), F.lit(29))).alias("pos", "k")).select("query_id", "pos", ((F.col("query_id") * 31 + F.col("k") * 17) % n).alias("doc_id"))
     d = _table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 11 == 5, F.lit("")).otherwise(F.col("text")).alias("text"))
@@ -313,7 +313,7 @@ def _answer_hits(spark, sf):
     q, c = _candidates(spark, sf)
     hits = c.where("pos < 5").select(
         "query_id", F.col("pos").alias("rank"), F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("u"), F.col("doc_id")).alias("unit_id"),
-        F.when(F.col("text") == "", "vision").otherwise("text").alias("modality"), F.lit(0).alias("page"), F.substring("text", 1, 1500).alias("text"),
+        F.when(F.col("text") == "", "vision").otherwise("text").alias("modality"), F.lit(0).alias("page"), "text",
         F.when(F.col("text") == "", F.concat(F.lit("/tiles/"), F.col("doc_id"))).alias("image_path"),
     )
     return q, hits
@@ -376,7 +376,7 @@ def index_footprint(spark, sf):
 
 
 def doc_ids(spark, sf):
-    return store.doc_ids(_chunks(spark, sf).where("doc_id % 3 = 0"), _vision_units(spark, sf))
+    return store.doc_ids(_chunks(spark, sf), _vision_units(spark, sf))
 
 
 def delete_docs(spark, sf):
@@ -386,7 +386,8 @@ def delete_docs(spark, sf):
 
 def upsert_docs(spark, sf):
     d = _table(spark, sf, "documents")
-    new = d.where("doc_id % 10 = 0").select("doc_id", F.reverse("text").alias("text"))
+    toxic = _table(spark, sf, "labels").where("toxic = 1").select("doc_id")
+    new = d.join(toxic, "doc_id", "left_semi").select("doc_id", F.reverse("text").alias("text"))
     return store.upsert(d.select("doc_id", "text"), new, new)
 
 
@@ -427,7 +428,7 @@ def _judged(spark, sf):
     e = _table(spark, sf, "embeddings")
     ranked = topk.vector_topk(_topk_queries(spark, sf), _vision_units(spark, sf).withColumn("doc_id", F.substring("unit_id", 2, 6).cast("long")), 10)
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    qrels = q.join(e.select(F.col("vec_id").alias("doc_id"), "label"), "label").where("doc_id % 5 = 0").select("query_id", "doc_id", (F.col("doc_id") % 3 + 0.0).alias("gain"))
+    qrels = q.join(e.select(F.col("vec_id").alias("doc_id"), "label"), "label").select("query_id", "doc_id", (F.col("doc_id") % 3 + 0.0).alias("gain"))
     return ranked, qrels, q.select("query_id")
 
 
@@ -454,7 +455,7 @@ def eval_sample(spark, sf):
 
 
 def qrels_normalize(spark, sf):
-    e = _table(spark, sf, "embeddings").where("vec_id < 50")
+    e = _table(spark, sf, "embeddings")
     listed = F.concat(F.lit('["d'), F.col("vec_id"), F.lit('","x"]'))
     mapped = F.concat(F.lit('{"d'), F.col("vec_id"), F.lit('":2.5,"y":0}'))
     rows = e.select(F.col("vec_id").alias("query_id"), F.parse_json(F.when(F.col("vec_id") % 2 == 0, listed).otherwise(mapped)).alias("relevant"))
