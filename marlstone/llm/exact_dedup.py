@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, partitions, stage, with_id
@@ -64,14 +64,15 @@ class DigestIndex:
         return self.rows().groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("copies").alias("group_size"))
 
 
+def digest_of(text: Column) -> Column:
+    """SHA-256 of a text without its white space; null counts as empty."""
+    return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, "").cast("binary"), 256)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_points, text_sha256) of each row; the text is hashed without its white space, null counts as empty."""
+    """(doc_id, n_points, text_sha256) of each row; ``n_points`` counts the code points of the text as it is."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return with_id(docs, id_col, text_col).select(
-        "doc_id",
-        F.length(text).cast("long").alias("n_points"),
-        F.sha2(F.regexp_replace(text, WHITE, "").cast("binary"), 256).alias("text_sha256"),
-    )
+    return with_id(docs, id_col, text_col).select("doc_id", F.length(text).cast("long").alias("n_points"), digest_of(text).alias("text_sha256"))
 
 
 def exact_dedup(
@@ -82,8 +83,8 @@ def exact_dedup(
     Of equal texts in a batch the row with the most code points in its original text stays, then the
     smallest id; a text that the index held before keeps the id stored there. ``group_size`` counts
     rows of all batches so far. Null and empty texts are equal to each other. Rows that repeat an id
-    with the same text are one row of the result and count once. A null id is kept in the result but
-    never chosen over one that is set. Empty input gives an empty result.
+    with the same text are one row of the result and count once. A null id is an id like others; among
+    texts of equal length it comes last. Empty input gives an empty result.
     """
     index = index or DigestIndex(docs.sparkSession)
     lean = stage(digests(docs, id_col, text_col), "digest-rows")
@@ -100,14 +101,14 @@ def exact_dedup(
         "doc_id",
         "keep_id",
         "group_size",
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256",
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the exact copies: the stage of the pipeline. Columns are unchanged."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(kept.hint("shuffle_hash"), docs.doc_id == F.col("__id"), "left_semi")
-
-
+    """``docs`` without the exact copies, rows that repeat an id and a text included: the stage of the pipeline. Columns are unchanged."""
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept"))
+    named = docs.withColumn("__sha", digest_of(F.col("text")))
+    found = named.join(kept.hint("merge"), named.doc_id.eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept")), "left_semi")
+    return found.dropDuplicates(["doc_id", "__sha"]).drop("__sha")

@@ -183,7 +183,8 @@ def test_exact_in_batches(spark):
 
 def test_exact_nulls_and_repeats(spark):
     d = spark.createDataFrame([(None, "xx x"), (2, "xxx"), (2, "xxx")], "doc_id long, text string")
-    assert sorted((r.doc_id or -1, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(d).collect()) == [(-1, None, 2, False), (2, None, 2, False)]
+    assert sorted((r.doc_id or -1, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(d).collect()) == [(-1, None, 2, True), (2, None, 2, False)]
+    assert exact_dedup.drop_copies(d).count() == 1 == exact_dedup.drop_copies(d.where("doc_id = 2")).count()
 
 
 # vectors
