@@ -11,31 +11,36 @@ from ..functions.text import tokens
 K1, B = 1.5, 0.75
 
 
-def bm25(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(query_id, cand_id, bm25) for ``queries`` (query_id, query) and ``candidates`` (query_id, cand_id, text).
+def bm25(queries: DataFrame, candidates: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, cand_id, bm25) for ``queries`` (query_id, query) and ``candidates`` (query_id, cand_id, text); columns to ``carry`` come along.
 
-    The candidates of a query are the corpus of its statistics; empty ones count. A query's distinct terms are joined with the
-    candidates' term counts, so only terms that a query asks for are aggregated.
+    The candidates of a query are the corpus of its statistics; empty ones count. Only the tokens that are among
+    a query's distinct terms are exploded, and all windows and aggregates share one shuffle on the query.
     """
-    docs = candidates.select("query_id", "cand_id", tokens(F.coalesce("text", F.lit(""))).alias("tok")).withColumn("len", F.size("tok"))
-    corpus = docs.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.coalesce("query", F.lit(""))))).alias("term"))
+    terms = queries.select("query_id", F.array_distinct(tokens(F.coalesce("query", F.lit("")))).alias("terms"))
+    own = Window.partitionBy("query_id")
+    docs = (
+        candidates.select("query_id", "cand_id", *carry, tokens(F.coalesce("text", F.lit(""))).alias("tok"))
+        .join(terms, "query_id", "left")
+        .withColumn("len", F.size("tok"))
+        .withColumn("n", F.count("*").over(own))
+        .withColumn("mean", F.avg("len").over(own))
+    )
+    asked = F.filter("tok", lambda t: F.array_contains("terms", t))
     tf = (
-        docs.select("query_id", "cand_id", "len", F.explode("tok").alias("term"))
-        .join(terms, ["query_id", "term"])
-        .groupBy("query_id", "cand_id", "len", "term")
-        .agg(F.count("*").alias("tf"))
+        docs.select("query_id", "cand_id", *carry, "len", "n", "mean", F.explode_outer(asked).alias("term"))
+        .groupBy("query_id", "cand_id", "len", "n", "mean", "term")
+        .agg(F.count("term").alias("tf"), *[F.first(c).alias(c) for c in carry])
     )
     df = F.count("*").over(Window.partitionBy("query_id", "term"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean = F.when(F.col("mean") > 0, F.col("mean")).otherwise(F.lit(1.0))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
-    scored = tf.withColumn("df", df).join(corpus, "query_id").groupBy("query_id", "cand_id").agg(F.sum(part).alias("bm25"))
-    return docs.select("query_id", "cand_id").join(scored, ["query_id", "cand_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    part = F.when(F.col("term").isNotNull(), idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean)))
+    return tf.withColumn("df", df).groupBy("query_id", "cand_id").agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("bm25"), *[F.first(c).alias(c) for c in carry])
 
 
-def blend(fused: DataFrame, scores: DataFrame, weight: float = 0.5, top_k: int | None = None) -> DataFrame:
-    """Reorder ``fused`` (query_id, pos, doc_id, score, text) by scores (query_id, doc_id, rerank_raw) blended with its own.
+def blend(scored: DataFrame, weight: float = 0.5, top_k: int | None = None) -> DataFrame:
+    """Reorder hits (query_id, pos, doc_id, score, text) by their ``rerank_raw`` blended with their score.
 
     Both are scaled to their range in the query, all equal to 0. A candidate without text keeps its fused standing. Adds ``c_rerank``.
     """
@@ -47,8 +52,7 @@ def blend(fused: DataFrame, scores: DataFrame, weight: float = 0.5, top_k: int |
         return F.when(high - low < 1e-12, F.lit(0.0)).otherwise((F.col(name) - low) / (high - low))
 
     rows = (
-        fused.join(scores, ["query_id", "doc_id"], "left")
-        .withColumn("rerank_raw", F.coalesce("rerank_raw", F.lit(0.0)))
+        scored.withColumn("rerank_raw", F.coalesce("rerank_raw", F.lit(0.0)))
         .withColumn("__rr", scaled("rerank_raw"))
         .withColumn("__fn", scaled("score"))
         .withColumn("__rr", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.col("__fn")).otherwise(F.col("__rr")))
@@ -61,6 +65,8 @@ def blend(fused: DataFrame, scores: DataFrame, weight: float = 0.5, top_k: int |
 
 
 def rerank(queries: DataFrame, fused: DataFrame, weight: float = 0.5, top_k: int | None = None) -> DataFrame:
-    """BM25 rerank of fused hits that carry their text."""
-    scores = bm25(queries, fused.select("query_id", F.col("doc_id").alias("cand_id"), "text"))
-    return blend(fused, scores.select("query_id", F.col("cand_id").alias("doc_id"), F.col("bm25").alias("rerank_raw")), weight, top_k)
+    """BM25 rerank of fused hits that carry their text; the hits are computed once and come along through the scoring."""
+    hits = fused.withColumnRenamed("text", "__text").withColumn("cand_id", F.col("doc_id")).withColumn("text", F.col("__text"))
+    carry = tuple(c for c in hits.columns if c not in ("query_id", "cand_id", "text"))
+    scored = bm25(queries, hits, carry).drop("cand_id").withColumnRenamed("__text", "text").withColumnRenamed("bm25", "rerank_raw")
+    return blend(scored, weight, top_k)
