@@ -109,3 +109,10 @@ def llm_prompt(queries: DataFrame, hits: DataFrame, most: int = 5) -> DataFrame:
         F.concat(F.lit(PROMPT_HEAD), "query", F.lit("\n\nSources:\n"), F.coalesce("sources", F.lit("(no retrieved context)")), F.lit("\n\nAnswer:")).alias("prompt"),
         F.coalesce("image_paths", F.array().cast("array<string>")).alias("image_paths"),
     )
+
+
+def formatted(answers: DataFrame, cited: DataFrame) -> DataFrame:
+    """(query_id, shown): each answer with the list of its sources below."""
+    line = F.concat(F.lit("["), F.col("marker").cast("string"), F.lit("] "), F.col("doc_id").cast("string"), F.lit(" (page "), F.col("page").cast("string"), F.lit(", "), F.col("modality"), F.lit(")"))
+    sources = cited.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("marker"), line.alias("l")))), lambda s: s["l"]), "\n").alias("sources"))
+    return answers.join(sources, "query_id", "left").select("query_id", F.when(F.col("sources").isNull(), F.col("answer")).otherwise(F.concat("answer", F.lit("\n\nSources:\n"), "sources")).alias("shown"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,3 +73,22 @@ def rerank(queries: DataFrame, fused: DataFrame, weight: float = 0.5, top_k: int
     carry = tuple(c for c in hits.columns if c not in ("query_id", "cand_id", "text"))
     scored = bm25(queries, hits, carry).drop("cand_id").withColumnRenamed("__text", "text").withColumnRenamed("bm25", "rerank_raw")
     return blend(scored, weight, top_k)
+
+
+def model_scores(queries: DataFrame, candidates: DataFrame, load) -> DataFrame:
+    """(query_id, cand_id, rerank_raw) by a model on pairs: ``load`` runs once a task and returns a function from lists of questions and texts to scores."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for question, text in batches:
+            yield pd.Series(model(list(question), list(text)), dtype=float)
+
+    pairs = candidates.join(queries.select("query_id", "query"), "query_id")
+    return pairs.select("query_id", "cand_id", score(F.col("query"), F.coalesce("text", F.lit(""))).alias("rerank_raw"))
+
+
+def rerank_by_model(queries: DataFrame, fused: DataFrame, load, weight: float = 0.5, top_k: int | None = None) -> DataFrame:
+    """Rerank fused hits that carry their text with a model on pairs."""
+    scores = model_scores(queries, fused.select("query_id", F.col("doc_id").alias("cand_id"), "text"), load)
+    return blend(fused.join(scores.withColumnRenamed("cand_id", "doc_id"), ["query_id", "doc_id"], "left"), weight, top_k)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..fixtures import png
 from ..functions.text import clean_text
 
 #: fixed values: elements whose content is not text, and elements that begin a line
@@ -115,3 +117,19 @@ def tiles_from_paths(paths: DataFrame) -> DataFrame:
     stem = F.regexp_replace(F.regexp_extract("image_path", r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
     before = F.regexp_extract(stem, r"^(.+)_p", 1)
     return paths.select(stem.alias("unit_id"), F.when(before != "", before).otherwise(stem).alias("doc_id"), "image_path")
+
+
+def cut_tiles(images: DataFrame, tile_height: int = 512, overlap: int = 64) -> DataFrame:
+    """(unit_id, doc_id, page, row, png) of page images (doc_id, page, height, width, channels, data), data in Spark's byte order; the tiles are those of ``tile_geometry``."""
+    tiles = tile_geometry(images, tile_height, overlap).select("unit_id", F.col("doc_id").alias("__doc"), F.col("page").alias("__page"), "row", "y0", "y1")
+    rows = images.join(tiles, (F.col("doc_id") == F.col("__doc")) & (F.col("page") == F.col("__page")))
+
+    @F.pandas_udf("binary")
+    def crop(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series, top: pd.Series, bottom: pd.Series) -> pd.Series:
+        def one(h, w, c, raw, y0, y1):
+            x = np.frombuffer(raw, np.uint8).reshape(h, w, c)[y0:y1]
+            return png(x[:, :, 2::-1] if c >= 3 else x[:, :, 0])
+
+        return pd.Series([one(*r) for r in zip(height, width, channels, data, top, bottom)])
+
+    return rows.select("unit_id", "doc_id", "page", "row", crop("height", "width", "channels", "data", "y0", "y1").alias("png"))

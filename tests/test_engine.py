@@ -103,3 +103,20 @@ def test_cli_parses():
         p.parse_args(line.split())
     with pytest.raises(SystemExit):
         p.parse_args(["nothing"])
+
+
+def test_tiles_of_images(spark):
+    images = manifests.read_images(spark, fixtures.write_images(spark)).selectExpr("image_path doc_id", "0 page", "height", "width", "channels", "data")
+    rows = units.cut_tiles(images, 64, 16).collect()
+    assert len(rows) == 5 * 3 + 1 and all(bytes(r.png).startswith(b"\x89PNG") for r in rows)
+
+
+def test_formatted_and_model_rerank(engine, spark):
+    from marlstone.operators import answer, rerank
+
+    shown = answer.formatted(*engine.answer("record output of the solar array", modality="text")).first().shown
+    assert "Sources:\n[1] a (page 0, text)" in shown
+    q = engine.questions(["x"])
+    fused = spark.createDataFrame([(0, 0, "a", 0.9, "short"), (0, 1, "b", 0.1, "much longer text")], "query_id long, pos int, doc_id string, score double, text string")
+    ranked = rerank.rerank_by_model(q, fused, lambda: lambda questions, texts: [len(t) for t in texts], 1.0).orderBy("pos").collect()
+    assert [r.doc_id for r in ranked] == ["b", "a"]
