@@ -27,9 +27,11 @@ from .common import components, free_worker, partitions, stage, unstage, with_id
 WORDS, PERCENT = 5, 80
 #: prefix lists in which a token is frequent
 FREQUENT = 512
-_SLICE = 2_000_000
+_SLICE = 1_000_000
 #: pairs that are compared at once
 _PAIRS = 500
+#: 64-bit words of the bit map of a set
+_LONGS = 16
 #: tokens of a set whose sketch keeps 16 bits of each; larger sets keep 32
 _SHORT = 4_096
 _NEXT = U(0x9E3779B97F4A7C15)
@@ -211,7 +213,7 @@ def _pruned(percent: int):
 
 
 def _profiles(k: int, percent: int):
-    """Candidates: the sketch of the set, and its prefix list by hash, a quarter longer than a prefix of rare tokens."""
+    """Candidates: the sketch and bit map of the set, and its prefix list by hash, a quarter longer than a prefix of rare tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
@@ -221,10 +223,14 @@ def _profiles(k: int, percent: int):
                 n = np.diff(cuts)
                 take = np.where(n > 0, np.minimum(n, (prefix_size(n, percent) * 5 + 3) // 4 + 1), 0)
                 lists = [token[c : c + t] for c, t in zip(cuts, take)]
+                bits = np.zeros((len(n), 64 * _LONGS), np.uint8)
+                bits[np.repeat(np.arange(len(n)), n), (mix(token) % U(64 * _LONGS)).astype(np.int64)] = 1
+                longs = pa.array(np.packbits(bits, axis=1).view(np.int64).reshape(-1))
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * _LONGS, pa.int32()), longs)
                 sketches = [_sketch(token[c:d]) for c, d in zip(cuts[:-1], cuts[1:])]
                 edges = pa.array(np.concatenate(([0], np.cumsum(take))), pa.int32())
                 heads = pa.ListArray.from_arrays(edges, pa.array(np.concatenate(lists).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sketches, pa.binary()), heads], ["doc_id", "sketch", "head"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sketches, pa.binary()), bits, heads], ["doc_id", "sketch", "bits", "head"])
 
     return run
 
@@ -358,8 +364,8 @@ def link_documents(docs: DataFrame, words_each: int = WORDS, percent: int = PERC
     A document's set holds its distinct shingles of ``words_each`` words, A-Z lower-cased; with fewer
     words, the whole sequence as one. Two documents link when 100 * intersection >= ``percent`` *
     union. Null, empty and blank texts have an empty set and link with nothing. ``component_id`` is the
-    smallest id reachable by links, itself included. Rows that repeat an id are one document;
-    a row with a null id has the size of its set and a null component.
+    smallest id reachable by links, itself included. Rows that repeat an id are one document and one row of
+    the result; rows with a null id are left out.
     """
     base = with_id(docs, id_col, text_col)
     lean = base.where("doc_id is not null")
@@ -369,10 +375,10 @@ def link_documents(docs: DataFrame, words_each: int = WORDS, percent: int = PERC
     p = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
     wanted = stage(classes.where(F.col("lone") < p).select("rep", "n", "lone"), "wanted")
     texts = stage(lean.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "candidates")
-    profiles = texts.mapInArrow(_profiles(words_each, percent), "doc_id long, sketch binary, head array<long>")
+    profiles = texts.mapInArrow(_profiles(words_each, percent), "doc_id long, sketch binary, bits array<long>, head array<long>")
     sets = stage(profiles.dropDuplicates(["doc_id"]).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id"), "sets")
     index = _index(sets.select("doc_id", "n", "lone", "head"), texts, words_each, percent)
-    named = components(_resolve(index, sets.select("doc_id", "n", "sketch"), texts, words_each, percent))
+    named = components(_resolve(index, sets.select("doc_id", "n", "sketch", "bits"), texts, words_each, percent))
     # every document has the component of the first document with its set
     placed = classes.select(*by, "rep").join(named, F.col("rep") == F.col("node"), "left").select(*by, F.coalesce("component", "rep").alias("component"))
     every = sizes.groupBy("doc_id").agg(F.max(F.struct(*by)).alias("s")).select("doc_id", "s.*")
@@ -386,22 +392,24 @@ def _resolve(index: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percen
     done = links
     last = index.agg(F.max("at")).first()[0] or 0
     low, high = 1, 2  # pivots are the documents numbered low to high - 1 under their key
+    bits = sets.select("doc_id", "bits")
     open_, named = index.withColumn("component", F.col("doc_id")), None
     while low <= last:
-        common = F.least("most", "pmost")  # at most, so this also bounds how far apart the sizes are
+        needed = F.lit(percent) * (F.col("n") + F.col("pn"))  # common tokens a link takes, times 100 + percent
+        enough = F.lit(100 + percent) * F.least("most", "pmost") >= needed
         pivot = open_.where(F.col("at").between(low, high - 1)).select(
             "key", F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("most").alias("pmost"), F.col("at").alias("pat"), F.col("component").alias("pc")
         )
-        rows, once = open_, F.lit(True)
-        if low > 1:  # a pair is made once, at the least key where it can be: each side knows its keys
-            pivot = pivot.join(pivot.groupBy("p").agg(F.collect_list("key").alias("pivot_keys")), "p")
-            rows = open_.join(open_.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "doc_id")
-            once = F.col("key") == F.array_min(F.array_intersect("pivot_keys", "keys"))
+        rows = open_
+        if low > 1:  # a bit that one set has and the other has not is a token that they do not share
+            rows = open_.join(bits.select("doc_id", *[F.col("bits")[i].alias(f"x{i}") for i in range(_LONGS)]), "doc_id")
+            pivot = pivot.join(bits.select(F.col("doc_id").alias("p"), *[F.col("bits")[i].alias(f"y{i}") for i in range(_LONGS)]), "p")
+            lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(f"{y}{i}"))) for i in range(_LONGS)), F.lit(0))
+            enough = enough & (F.lit(100 + percent) * (F.col("n") - lacks("x", "y")) >= needed) & (F.lit(100 + percent) * (F.col("pn") - lacks("y", "x")) >= needed)
         pairs = (
             rows.join(pivot, "key")
             .where("at > pat and component <> pc")
-            .where(F.lit(100) * common >= F.lit(percent) * (F.col("n") + F.col("pn") - common))
-            .where(once)
+            .where(enough)
             .select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b"))
             .distinct()
         )

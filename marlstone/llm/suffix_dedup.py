@@ -27,7 +27,7 @@ ANCHOR = 48
 #: bytes of strings in one collection; an anchor with more of them has a collection of its own
 COLLECTION_BYTES = 3_000_000
 _POSITION_BITS = 23
-_SLICE = 2_000_000
+_SLICE = 1_000_000
 RUNS = "anchor long, content long, doc_id long, start long, n long"
 
 
