@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import embedding_dedup, exact_dedup, language, ngram_join, packing, quality, sentence_pieces, suffix_dedup, url_filter, warc
 
@@ -92,10 +91,50 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(_table(spark, sf_dir, "documents"))
 
 
+#: texts as hexadecimal digits; windows that are not first of their content; their unions; what lies between them
+OP1_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+win AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS w FROM (SELECT doc_id, h, unnest(range(n - 99)) AS i FROM d WHERE n >= 100)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+edge AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, TRUE) AS opens FROM again),
+run AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS z
+  FROM (SELECT doc_id, i, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM edge) GROUP BY doc_id, r),
+piece AS (
+  SELECT doc_id, a AS place, substr(h, 2 * coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0))) AS p
+  FROM run JOIN d USING (doc_id)
+  UNION ALL SELECT doc_id, n, substr(h, 2 * coalesce(z, 0) + 1) FROM d LEFT JOIN (SELECT doc_id, max(z) AS z FROM run GROUP BY doc_id) USING (doc_id)),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(p, '' ORDER BY place))) AS kept_sha256 FROM piece GROUP BY doc_id),
+cut AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM run GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)
+"""
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(_table(spark, sf_dir, "documents"), words_each=4, percent=85)
 
 
+#: sets as joined words; pairs by their common shingles; components by walking the links
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) END) AS shingle
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS (
+  SELECT c.a, c.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY ALL) c
+  JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * common >= 85 * (p.n + q.n - common)),
+walk(doc_id, seen) AS (SELECT a, b FROM link UNION SELECT k.doc_id, l.b FROM walk k JOIN link l ON k.seen = l.a),
+c AS (SELECT doc_id, min(seen) AS component_id FROM walk GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(coalesce(c.component_id, d.doc_id), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
@@ -141,4 +180,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embedding_dedup": OP4_SQL, "op6_warc": OP6_SQL, "op7_url_filter": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op2_ngram_join": OP2_SQL, "op4_embedding_dedup": OP4_SQL, "op6_warc": OP6_SQL, "op7_url_filter": OP7_SQL, "op9_exact_dedup": OP9_SQL}
