@@ -95,6 +95,21 @@ def _ranges(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBat
     return _run_batch(mix(doc.astype(np.uint64) + start.astype(np.uint64)), np.zeros(len(doc)), doc, start, start - end)
 
 
+def _first_in_slice(
+    anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, place: np.ndarray, windows: np.ndarray, span: int
+) -> Iterator[pa.RecordBatch]:
+    """The first run of each content, and the ranges of runs of that content that stand elsewhere; a repeated row of the first run is neither."""
+    order = np.lexsort((place, doc, content))
+    anchor, content, doc, place, windows = (x[order] for x in (anchor, content, doc, place, windows))
+    new = np.ones(len(doc), bool)
+    new[1:] = content[1:] != content[:-1]
+    yield _run_batch(anchor[new], content[new], doc[new], place[new], windows[new])
+    opener = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+    again = (doc != doc[opener]) | (place != place[opener])
+    if again.any():
+        yield _ranges(doc[again], place[again], place[again] + windows[again] + span - 1)
+
+
 def _runs(span: int, k: int):
     """Stage A, per slice of texts: runs that may be first of their content, and ranges that a run of the slice already shows to be repeated."""
 
@@ -113,13 +128,7 @@ def _runs(span: int, k: int):
                     at = np.searchsorted(part_offsets, start, "right") - 1
                     parts.append((ids[first:last][at], start - part_offsets[at] + base, windows, anchor, content))
                 doc, place, windows, anchor, content = (np.concatenate(x) for x in zip(*parts))
-                order = np.lexsort((place, doc, content))
-                doc, place, windows, anchor, content = (x[order] for x in (doc, place, windows, anchor, content))
-                again = np.zeros(len(doc), bool)
-                again[1:] = content[1:] == content[:-1]
-                yield _run_batch(anchor[~again], content[~again], doc[~again], place[~again], windows[~again])
-                if again.any():
-                    yield _ranges(doc[again], place[again], place[again] + windows[again] + span - 1)
+                yield from _first_in_slice(anchor, content, doc, place, windows, span)
 
     return run
 

@@ -114,6 +114,18 @@ def test_repeated_rows_are_one_document(spark):
     assert sorted(r.n_removed for r in suffix_dedup.removal_report(null).collect()) == [0, 0]
 
 
+def test_repeated_rows_of_one_slice(spark):
+    t, u = prose(4, 60), prose(6, 60)
+    d = spark.createDataFrame([(1, t), (1, t), (2, u + t), (2, u + t), (3, "x" * 300), (3, "x" * 300)], "doc_id long, text string").coalesce(1)
+    assert d.rdd.getNumPartitions() == 1
+    want = brute.repeats({1: t, 2: u + t, 3: "x" * 300})
+    rows = suffix_dedup.removal_report(d).collect()
+    assert len(rows) == 6 and want[1][1] == 0 < want[2][1]
+    for r in rows:
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id][:4]
+    assert {r.text for r in suffix_dedup.remove_repeats(d).where("doc_id = 1").collect()} == {t}
+
+
 def test_long_text_parts():
     flat = np.frombuffer(b"x" * 9_000_000, np.uint8)
     parts = suffix_dedup._long_text(flat, 100)
