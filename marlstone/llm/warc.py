@@ -1,7 +1,8 @@
-"""WARC archives: a writer of DataFrame functions and a reader that salvages what it can.
+"""WARC archives: a writer of DataFrame functions and a function that makes gzip members, and a reader that salvages what it can.
 
 Archives are bounded files written by Spark's committed text sink into a shared folder, so a task that
-is run again cannot leave half a file behind. Equal payloads are written once, as the response with
+is run again cannot leave half a file behind. Each record is a gzip member of its own, so that a
+damaged byte costs one record. Equal payloads are written once, as the response with
 the largest id; the others are revisit records without payload.
 """
 
@@ -86,10 +87,26 @@ def write_warc(
         _lines("Content-Type: application/http;msgtype=response", F.concat(F.lit("Content-Length: "), (F.octet_length("http") + F.octet_length("body")).cast("string")), ""),
         F.col("http"),
         F.col("body"),
-        F.lit("\r\n"),  # the sink adds the second line end that closes a record
+        F.lit("\r\n\r\n"),
     )
-    out = rows.withColumn("http", http).withColumn("body", body).select(record.alias("value"))
-    out.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // (longest + _HEAD_BYTES))).text(path)
+    # rows go to Python a hundred at a time: an Arrow batch of payloads would hold ten thousand
+    member = F.udf(_cut_member, "binary", useArrow=False)
+    out = rows.withColumn("http", http).withColumn("body", body).select(member(record).alias("value"))
+    # the sink writes the bytes of a string as they are, and its line end is the zero that ends every member
+    out = out.select(F.col("value").cast("string").alias("value"))
+    out.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // (longest + _HEAD_BYTES))).text(path)
+
+
+def _cut_member(record: str) -> bytes:
+    """A record as a gzip member without its last byte, which is zero.
+
+    A member ends with the size of its data, lowest byte first; after a record of 16 MB or more, whose size
+    has a highest byte, an empty member follows.
+    """
+    member = gzip_member(record.encode())
+    if member[-1]:
+        member += gzip_member(b"")
+    return member[:-1]
 
 
 def gzip_member(record: bytes) -> bytes:
@@ -158,28 +175,53 @@ def _inflate(data, at: int) -> tuple[bytes, int, str]:
     """What the gzip member at ``at`` holds up to its first fault, where it ends, and the fault ('' if its checksum is right)."""
     inflate = zlib.decompressobj(31)
     out = []
-    try:
-        for lo in range(at, len(data), 1 << 16):
-            out.append(inflate.decompress(data[lo : lo + (1 << 16)]))
-            if inflate.eof:
-                return b"".join(out), min(lo + (1 << 16), len(data)) - len(inflate.unused_data), ""
-    except zlib.error as e:
-        return b"".join(out), len(data), f"gzip: {e}"
+    at_most = 1 << 16
+    for lo in range(at, len(data), at_most):
+        chunk = data[lo : lo + at_most]
+        before = inflate.copy()
+        try:
+            out.append(inflate.decompress(chunk))
+        except zlib.error as e:
+            return b"".join(out) + _before_fault(before, chunk), len(data), f"gzip: {e}"
+        if inflate.eof:
+            return b"".join(out), lo + len(chunk) - len(inflate.unused_data), ""
     return b"".join(out), len(data), "gzip member is cut short"
 
 
+def _before_fault(inflate, chunk: bytes) -> bytes:
+    """What ``chunk``, which has a fault, holds before it; zlib drops the output of a call that fails, so calls get smaller."""
+    out = []
+    at, step = 0, len(chunk)
+    while step:
+        before = inflate.copy()
+        try:
+            out.append(inflate.decompress(chunk[at : at + step]))
+            at += step
+        except zlib.error:
+            inflate, step = before, step // 16
+    try:  # the byte with the fault, a byte of output at a time
+        out.append(inflate.decompress(chunk[at : at + 1], 1))
+        while out[-1]:
+            out.append(inflate.decompress(inflate.unconsumed_tail, 1))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
 def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
     """All records of an archive that pass their checks, and the byte gaps (start, end, reason) between them.
 
     An archive is plain or has one or more records to a gzip member. After a failed check the reader looks
     for the next version line or gzip member from which a record can be read whole, goes on there,
     and quarantines the bytes it passed over. Of a damaged member the records before the fault
-    are kept. An empty archive has neither records nor gaps.
+    are kept, once each also where the member stores them uncompressed. An empty archive has neither
+    records nor gaps.
     """
     records: list[dict] = []
     gaps: list[tuple[int, int, str]] = []
     at = 0
     gap, reason = None, ""
+    partial: set[tuple] = set()  # records of damaged members
     while at < len(data):
         found: list[dict] = []
         fault = ""
@@ -197,6 +239,11 @@ def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
                 fault = str(e)
         for r in found:
             r["offset"] = at
+        if fault or partial:
+            own = [(tuple(r["headers"].items()), r["digest"]) for r in found]
+            found = [r for r, k in zip(found, own) if k not in partial]
+            if fault:
+                partial.update(own)
         records += found
         if fault:
             if gap is None:

@@ -1,3 +1,4 @@
+import gzip
 import random
 import re
 import zlib
@@ -237,6 +238,49 @@ def test_salvage_members():
     assert ids(found) == list(range(len(found))) and len(found) > 15 and len(gaps) == 1
 
 
+def test_salvage_before_the_fault():
+    plain = b"".join(record(i, bytes(random.Random(i).choices(b"abcdef", k=400))) for i in range(50))
+    member = warc.gzip_member(plain)
+    assert len(member) < 1 << 16
+    found, gaps = warc.salvage(member[:-8] + bytes([member[-8] ^ 1]) + member[-7:])  # a wrong checksum
+    assert ids(found) == list(range(50)) and len(gaps) == 1
+    broken = bytearray(member)
+    broken[len(member) // 2] ^= 255
+    found, gaps = warc.salvage(bytes(broken))
+    assert ids(found)[:20] == list(range(20)) and gaps[-1][1] == len(member)
+    stored = zlib.compressobj(0, zlib.DEFLATED, 31)
+    stored = stored.compress(plain) + stored.flush()
+    found, _ = warc.salvage(stored[:-8] + bytes([stored[-8] ^ 1]) + stored[-7:])
+    assert ids(found) == list(range(50))
+
+
+def test_written_archives_lose_only_the_damaged_record(spark, tmp_path):
+    r = random.Random(7)
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "".join(r.choices("abcdefgh ", k=3000))) for i in range(20)], "page_id long, url string, html string")
+    warc.write_warc(pages.coalesce(1), str(tmp_path / "w"))
+    seen, most = [], 0
+    for f in (tmp_path / "w").glob("part-*"):
+        data = f.read_bytes()
+        found, gaps = warc.salvage(data)
+        assert not gaps and gzip.decompress(data).count(b"WARC/1.1\r\n") == len(found)
+        seen, most = seen + ids(found), max(most, len(found))
+        for k, hit in enumerate(found):
+            broken = bytearray(data)
+            broken[hit["offset"] + 700] ^= 255
+            left, gaps = warc.salvage(bytes(broken))
+            assert ids(left) == ids(found[:k]) + ids(found[k + 1 :]) and gaps
+    assert sorted(seen) == list(range(20)) and most > 2
+
+
+def test_written_archive_of_a_very_long_record(spark, tmp_path):
+    pages = spark.createDataFrame([(1, None, "z" * 17_000_000), (2, None, None)], "page_id long, url string, html string")
+    warc.write_warc(pages, str(tmp_path / "w"))
+    rows = {r.page_id: r for r in warc.read_warc(spark, str(tmp_path / "w"), False).withColumn("page_id", warc.page_id("record_id")).collect()}
+    assert {k: (r.payload_bytes, r.quarantine) for k, r in rows.items()} == {1: (17_000_000, None), 2: (0, None)}
+    for f in (tmp_path / "w").glob("part-*"):
+        assert gzip.decompress(f.read_bytes()).endswith(b"\r\n\r\n")
+
+
 @pytest.mark.parametrize("least", [0, 5])
 def test_warc_round_trip(spark, least):
     html = {1: "<p>é</p>", 2: "same text", 3: "same text", 4: None, 5: "", 6: "abc", 7: "abc", 8: "WARC/1.1\r\n\r\n" * 3, 9: "x" * 100_000}
