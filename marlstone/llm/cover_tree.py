@@ -97,7 +97,8 @@ def _leaf_pairs(a: CoverTree, b: CoverTree, leaves: list[tuple[int, int]], cosin
     big = [(i, j) for i, j in leaves if len(a.points[i]) * len(b.points[j]) > LEAF * LEAF]
     for i, j in big:  # a leaf of equal vectors may be large: block by block
         for lo in range(0, len(a.points[i]), 512):
-            p, q = a.points[i][lo : lo + 512], b.points[j]
+            # a leaf with itself: earlier slices have met this one
+            p, q = a.points[i][lo : lo + 512], b.points[j][lo if a is b and i == j else 0 :]
             u, v = np.nonzero(a.x[p] @ b.x[q].T >= cosine)
             yield from _once(a is b, p[u], q[v])
     small = [(i, j) for i, j in leaves if len(a.points[i]) * len(b.points[j]) <= LEAF * LEAF]

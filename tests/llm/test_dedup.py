@@ -220,6 +220,26 @@ def test_cover_tree_pairs():
     assert got == {p for p in want if p[0] < 200 <= p[1]}
 
 
+def scaled_copies(n):
+    v = np.random.default_rng(4).normal(size=8)
+    return [[float(k) for k in (s * v).astype(np.float32)] for s in np.linspace(0.5, 3, n)]
+
+
+def test_cover_tree_pairs_in_a_large_leaf():
+    x = np.array(scaled_copies(1100))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = cover_tree.CoverTree(x)
+    assert tree.radius[0] <= 1e-6 and tree.children[0] is None
+    got = np.concatenate([u * 1100 + v for u, v in cover_tree.close_pairs(tree, tree, 0.93)])
+    assert len(got) == 1100 * 1099 // 2 == len(np.unique(got)) and (got // 1100 < got % 1100).all()
+
+
+def test_scaled_vectors(spark):
+    rows = [(i, v, 0) for i, v in enumerate(scaled_copies(1000))]
+    got = embedding_dedup.link_vectors(vectors(spark, rows)).collect()
+    assert len(got) == 1000 and {(r.n_links, r.component_id) for r in got} == {(999, 0)}
+
+
 @pytest.mark.parametrize("block", [2048, 16])
 def test_vectors(spark, monkeypatch, block):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
