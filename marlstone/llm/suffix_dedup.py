@@ -4,7 +4,7 @@ A string of ``span`` bytes that stands in two places brings the same anchor with
 K-byte substrings by hash. So texts are cut into runs of neighbouring windows with one anchor, runs
 with equal content are merged early, and all different runs of an anchor meet in one collection,
 whose Burrows-Wheeler transform and common prefixes (``collection_bwt``) show every window that they share.
-What is shuffled for a run is a few numbers; texts move only where different runs share an anchor.
+Where the runs of an anchor are too many for a collection, their windows meet by hash instead. What is shuffled for a run is a few numbers; texts move only where different runs share an anchor.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .common import free_worker, partitions, stage, with_id
 
 SPAN = 100
 ANCHOR = 48
-#: bytes of strings in one collection; an anchor with more of them has a collection of its own
+#: bytes of strings in one collection, less one anchor's; an anchor with more of them is hot, and its windows meet by hash
 COLLECTION_BYTES = 3_000_000
 _POSITION_BITS = 23
 _SLICE = 1_000_000
@@ -202,33 +202,108 @@ def _first_of_content(span: int):
     return run
 
 
+def _hot_marked(stage_b, span: int, limit: int):
+    """Stage B, and after the runs of each anchor that hold more than ``limit`` bytes a row that says so: n is 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size = None, 0  # the last anchor and the bytes of its runs
+        for batch in stage_b(batches):
+            yield batch
+            anchor, n = batch.column(0).to_numpy(), batch.column(4).to_numpy()
+            if not len(anchor) or n[0] < 0:  # a batch has runs, in order of anchor, or ranges
+                continue
+            first = np.concatenate(([0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1))
+            keys, sizes = anchor[first], np.add.reduceat(n + span - 1, first)
+            if own is not None and own == keys[0]:
+                sizes[0] += size
+            elif own is not None:
+                keys, sizes = np.append(own, keys), np.append(size, sizes)
+            yield from _hot_rows(keys[:-1][sizes[:-1] > limit])
+            own, size = keys[-1], sizes[-1]
+        if size > limit:
+            yield from _hot_rows(np.array([own]))
+
+    return run
+
+
+def _hot_rows(anchor: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(anchor):
+        none = np.zeros(len(anchor), np.int64)
+        yield _run_batch(anchor, none, none, none, none)
+
+
+def _hot_windows(pieces: list[tuple[int, int, bytes]], span: int) -> Iterator[pa.RecordBatch]:
+    """The windows of runs (doc_id, start, bytes) of hot anchors as runs of their own, whose anchor is the hash of the window."""
+    doc, base = (np.array([p[i] for p in pieces], np.int64) for i in (0, 1))
+    count = np.array([len(p[2]) - span + 1 for p in pieces], np.int64)
+    begin = np.cumsum(count + span - 1) - (count + span - 1)
+    flat = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
+    piece = np.repeat(np.arange(len(count)), count)
+    within = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
+    at = begin[piece] + within
+    key = span_hash(prefix_hash(flat), at, at + span)
+    yield from _first_in_slice(key, key, doc[piece], base[piece] + within, np.ones(len(piece), np.int64), span)
+
+
 def _strings(span: int):
-    """Stage C: the bytes of each run that goes on."""
+    """Stage C: the bytes of each run that goes on; of a hot anchor, null and n of its windows or ranges, which travel as in ``_ranges``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
         for batch in batches:
             out: list[tuple] = []
-            held = 0
+            hot: list[tuple] = []
+            held = hot_held = 0
             for doc, runs, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 data = (text.as_py() or "").encode()
                 for r in runs.as_py():
                     piece = data[r["start"] : r["start"] + r["n"] + span - 1]
                     if len(piece) == r["n"] + span - 1:
-                        out.append((r["anchor"], doc, r["start"], piece))
-                        held += len(piece)
+                        if r["hot"]:
+                            hot.append((doc, r["start"], piece))
+                            hot_held += len(piece)
+                        else:
+                            out.append((r["anchor"], doc, r["start"], piece, 0))
+                            held += len(piece)
                 if held > 2_000_000:
                     yield _string_batch(out)
                     out, held = [], 0
+                if hot_held > _SLICE:
+                    yield from map(_window_batch, _hot_windows(hot, span))
+                    hot, hot_held = [], 0
             if out:
                 yield _string_batch(out)
+            if hot:
+                yield from map(_window_batch, _hot_windows(hot, span))
 
     return run
 
 
+STRINGS = "anchor long, doc_id long, start long, bytes binary, n long"
+
+
 def _string_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["anchor", "doc_id", "start", "bytes"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], STRINGS.replace(" long", "").replace(" binary", "").split(", "))
+
+
+def _window_batch(runs: pa.RecordBatch) -> pa.RecordBatch:
+    anchor, _, doc, start, n = runs.columns
+    return pa.RecordBatch.from_arrays(
+        [anchor, doc, start, pa.nulls(len(n), pa.binary()), n], STRINGS.replace(" long", "").replace(" binary", "").split(", ")
+    )
+
+
+def _later_windows(windows: pa.RecordBatch, first: tuple | None, span: int) -> tuple[pa.RecordBatch, tuple]:
+    """Ranges of those windows, in order of (hash, doc_id, start), that are not first of their hash, and the first of the last hash; ``first`` is that of the rows before."""
+    key, doc, start = (windows.column(i).to_numpy() for i in range(3))
+    if first is not None:
+        key, doc, start = (np.append(x, y) for x, y in zip(first, (key, doc, start)))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    opener = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    again = (doc != doc[opener]) | (start != start[opener])
+    return _ranges(doc[again], start[again], start[again] + span), tuple(x[opener[-1]] for x in (key, doc, start))
 
 
 def repeated_windows(doc: np.ndarray, start: np.ndarray, flat: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +356,10 @@ def repeated_plain(doc, start, flat, offsets, span):
 
 
 def _collections(span: int):
-    """Stage D, over strings sorted by anchor: whole anchors are gathered to collections of bounded size and searched."""
+    """Stage D, over strings sorted by (anchor, doc_id, start): whole anchors are gathered to collections of bounded size and searched.
+
+    Windows of hot anchors are read past, with the first of the last hash in memory.
+    """
 
     def search(parts: list[tuple]) -> pa.RecordBatch:
         doc, start, data = (np.concatenate(x) for x in list(zip(*parts))[:3])
@@ -292,8 +370,17 @@ def _collections(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
         parts: list[tuple] = []
-        size, last = 0, None
+        size, last, window = 0, None, None
         for batch in batches:
+            n = batch.column(4).to_numpy()
+            if n.any():
+                if (n < 0).any():
+                    rows = batch.filter(pa.array(n < 0))
+                    yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.zeros(len(rows), np.int64)), rows.column(1), rows.column(2), rows.column(4)], RUNS.replace(" long", "").split(", "))
+                if (n > 0).any():
+                    later, window = _later_windows(batch.filter(pa.array(n > 0)), window, span)
+                    yield later
+                batch = batch.filter(pa.array(n == 0))
             if not batch.num_rows:
                 continue
             anchor = batch.column(0).to_numpy()
@@ -328,15 +415,22 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) ->
     parts = partitions(spark, 8)
     runs = lean.mapInArrow(_runs(span, min(anchor, span)), RUNS).repartition(parts, "anchor")
     known = stage(
-        runs.sortWithinPartitions("anchor", "content", "doc_id", "start").mapInArrow(_first_of_content(span), RUNS), "runs"
+        runs.sortWithinPartitions("anchor", "content", "doc_id", "start").mapInArrow(_hot_marked(_first_of_content(span), span, COLLECTION_BYTES), RUNS), "runs"
+    )
+    # one row for COLLECTION_BYTES of strings at most
+    hot = known.where("n = 0").select("anchor", F.lit(True).alias("hot"))
+    wanted = (
+        known.where("n > 0")
+        .join(F.broadcast(hot), "anchor", "left")
+        .groupBy("doc_id")
+        .agg(F.collect_list(F.struct("anchor", "start", "n", "hot")).alias("runs"))
     )
-    wanted = known.where("n > 0").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs"))
     strings = (
         wanted.join(lean, "doc_id")
         .select("doc_id", "runs", "text")
-        .mapInArrow(_strings(span), "anchor long, doc_id long, start long, bytes binary")
+        .mapInArrow(_strings(span), STRINGS)
         .repartition(parts, "anchor")
-        .sortWithinPartitions("anchor")
+        .sortWithinPartitions("anchor", "doc_id", "start")
     )
     found = stage(strings.mapInArrow(_collections(span), RUNS), "ranges")
     ranges = known.where("n < 0").unionByName(found).select("doc_id", "start", (F.col("start") - F.col("n")).alias("end"))

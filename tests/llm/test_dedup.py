@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marlstone.llm import collection_bwt, common, cover_tree, embedding_dedup, exact_dedup, ngram_join, suffix_dedup
@@ -106,6 +107,47 @@ def test_remove_repeats(spark, texts):
     assert suffix_dedup.remove_repeats(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [300, 4000])
+@pytest.mark.parametrize("batch", ["5", "10000"])
+def test_hot_anchors(spark, texts, monkeypatch, limit, batch):
+    passage = prose(11, 30)
+    many = texts | {1000 + i: prose(1000 + i, 30) + passage + prose(3000 + i % 7, 40) for i in range(80)}
+    monkeypatch.setattr(suffix_dedup, "COLLECTION_BYTES", limit)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        check_repeats(spark, many, 100)
+        same = frame(spark, many).unionByName(frame(spark, many))  # repeated rows
+        want = brute.repeats(many, 100)
+        rows = suffix_dedup.removal_report(same).collect()
+        assert len(rows) == 2 * len(many) and all((r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id][1:4] for r in rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_no_collection_grows_with_a_hot_anchor(monkeypatch):
+    sizes = []
+    monkeypatch.setattr(suffix_dedup, "COLLECTION_BYTES", 5000)
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda d, s, flat, *_: sizes.append(len(flat)) or (d[:0], s[:0]))
+    passage, rows = prose(12, 40), []
+    ids = pa.array(range(3000), pa.int64())
+    docs = pa.record_batch([ids, pa.array([prose(10_000 + i, 25) + passage + prose(20_000 + i, 25) for i in range(3000)])], ["doc_id", "text"])
+    runs = pa.Table.from_batches(list(suffix_dedup._runs(100, 48)(iter([docs]))))
+    runs = runs.sort_by([(c, "ascending") for c in ("anchor", "content", "doc_id", "start")])
+    known = pa.Table.from_batches(list(suffix_dedup._hot_marked(suffix_dedup._first_of_content(100), 100, 5000)(iter(runs.to_batches())))).to_pylist()
+    hot = {r["anchor"] for r in known if r["n"] == 0}
+    for r in known:
+        if r["n"] > 0:
+            rows.append((r["doc_id"], {"anchor": r["anchor"], "start": r["start"], "n": r["n"], "hot": r["anchor"] in hot}))
+    by = {}
+    for d, r in rows:
+        by.setdefault(d, []).append(r)
+    wanted = pa.record_batch([pa.array(list(by)), pa.array(list(by.values())), docs.column(1).take(pa.array(list(by)))], ["doc_id", "runs", "text"])
+    strings = pa.Table.from_batches(list(suffix_dedup._strings(100)(iter([wanted])))).sort_by([(c, "ascending") for c in ("anchor", "doc_id", "start")])
+    assert hot and sum(1 for r in known if r["n"] > 0) * 100 > 100_000
+    list(suffix_dedup._collections(100)(iter(strings.to_batches())))
+    assert max(sizes, default=0) <= 10_000
+
+
 def test_repeated_rows_are_one_document(spark):
     t = prose(4, 60)
     d = frame(spark, {1: t}).unionByName(frame(spark, {1: t}))
