@@ -3,12 +3,11 @@
 1. Every document's distinct shingles are hashed and counted over the whole corpus. A document in which so
    many occur in no other set that none can reach the similarity is done. The rest are the
    candidates, equal sets merged.
-2. Tokens are ordered, rare ones first. A document's prefix is extended until it must share one rare token,
-   or two frequent ones, with every document it can link to. Rare tokens are indexed singly, frequent
-   tokens by pairs.
-3. Documents under one index key are compared with a pivot of the key; keys whose documents are not in
-   one component then get further pivots, 64 times as many each round, until every pair that
-   shares a key was compared or lies in one component. Comparisons are exact.
+2. Tokens are ordered, rare ones first. Rare tokens are indexed singly, frequent ones by combinations of two,
+   still more frequent ones by three, within groups of tokens that bound their number; a document's prefix is
+   extended until it must share a key with every document it can link to.
+3. Documents under one key are compared with the key's pivot, then all that are not in one component
+   yet with each other. Bit maps rule most pairs out in the join; the rest are compared exactly.
 """
 
 from __future__ import annotations
@@ -19,21 +18,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .bytesops import LOWER, U, mix, prefix_hash, span_hash, text_slices, words
 from .common import components, free_worker, partitions, stage, unstage, with_id
 
 WORDS, PERCENT = 5, 80
-#: prefix lists in which a token is frequent
-FREQUENT = 512
+#: sets in which a token occurs from which on its keys are pairs, then triples
+FREQUENT = (512, 4_096)
 _SLICE = 1_000_000
-#: pairs that are compared at once
-_PAIRS = 500
+#: documents of a key that meet others in one task
+_BLOCK = 512
 #: 64-bit words of the bit map of a set
 _LONGS = 16
-#: tokens of a set whose sketch keeps 16 bits of each; larger sets keep 32
-_SHORT = 4_096
 _NEXT = U(0x9E3779B97F4A7C15)
 
 
@@ -180,123 +176,136 @@ def _sum_slice(table: pa.Table) -> pa.Table:
     return pa.concat_tables(pa.table({"doc_id": i, "n": s, "lone": lone[: len(i)], "one": d[0], "two": d[1]}) for i, s, d in heads)
 
 
-def _sketch(token: np.ndarray) -> bytes:
-    """The low bits of a set's tokens, distinct and in order."""
-    return np.unique(token.astype("<u2" if len(token) <= _SHORT else "<u4")).tobytes()
-
-
-def _may_link(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
-    """False only if the sketches prove that two sets of ``n`` and ``m`` tokens are not as similar as asked.
-
-    Common tokens have common low bits, of which at most as many coincide as each sketch is shorter than its set.
-    """
-    x, y = np.frombuffer(x, "<u2" if n <= _SHORT else "<u4"), np.frombuffer(y, "<u2" if m <= _SHORT else "<u4")
-    if x.dtype != y.dtype:
-        x, y = np.unique(x.astype("<u2")), np.unique(y.astype("<u2"))
-    both = np.concatenate((x, y))
-    both.sort(kind="stable")
-    most = int((both[1:] == both[:-1]).sum()) + min(n - len(x), m - len(y))
-    return 100 * most >= percent * (n + m - most)
-
-
-def _pruned(percent: int):
-    """Of pairs (a, b, n, sketch of a, m, sketch of b) those that may link."""
-
+def _all_tokens(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(2, 6)]
-            keep = [_may_link(*r, percent) for r in zip(*columns)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for first, last, flat, offsets in text_slices(batch.column(1), _SLICE):
+                token, cuts = shingles(flat, offsets, k)
+                ids = batch.column(0).slice(first, last - first)
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(token.view(np.int64)))], ["doc_id", "tokens"]
+                )
 
     return run
 
 
-def _profiles(k: int, percent: int):
-    """Candidates: the sketch and bit map of the set, and its prefix list by hash, a quarter longer than a prefix of rare tokens."""
+def _combinations(token: np.ndarray, group: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all combinations of ``k`` tokens of one group; the tokens of a group come one after another."""
+    ends = np.searchsorted(group, group, "right")
+    last, key = np.arange(len(token)), mix(token)
+    for _ in range(k - 1):
+        more = ends[last] - last - 1
+        of = np.repeat(np.arange(len(last)), more)
+        last = last[of] + 1 + np.arange(len(of)) - np.repeat(np.cumsum(more) - more, more)
+        key = mix(key[of] * U(3) + token[last] * _NEXT)
+    return key
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_worker()
-        for batch in batches:
-            for first, last, flat, offsets in text_slices(batch.column(1), _SLICE):
-                token, cuts = shingles(flat, offsets, k)
-                n = np.diff(cuts)
-                take = np.where(n > 0, np.minimum(n, (prefix_size(n, percent) * 5 + 3) // 4 + 1), 0)
-                lists = [token[c : c + t] for c, t in zip(cuts, take)]
-                bits = np.zeros((len(n), 64 * _LONGS), np.uint8)
-                bits[np.repeat(np.arange(len(n)), n), (mix(token) % U(64 * _LONGS)).astype(np.int64)] = 1
-                longs = pa.array(np.packbits(bits, axis=1).view(np.int64).reshape(-1))
-                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * _LONGS, pa.int32()), longs)
-                sketches = [_sketch(token[c:d]) for c, d in zip(cuts[:-1], cuts[1:])]
-                edges = pa.array(np.concatenate(([0], np.cumsum(take))), pa.int32())
-                heads = pa.ListArray.from_arrays(edges, pa.array(np.concatenate(lists).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sketches, pa.binary()), bits, heads], ["doc_id", "sketch", "bits", "head"])
 
-    return run
+def _level_keys(token: np.ndarray, each: np.ndarray, needed: int, level: int, first: int) -> list[np.ndarray]:
+    """Keys of one document at one level of size; ``first`` of the ``needed`` tokens are known to be lone.
 
+    ``each`` says how many tokens of a class make a key. A class of combinations is dealt to groups, as
+    many as grow with the level, and combinations are made within a group. A prefix in which a group has
+    c tokens tells of c - k + 1 that are missing elsewhere at most before no combination is left, so it is extended
+    until these sums exceed what a similar document can miss. A document too small for that
+    has all of its combinations, and singles that only meet those of other such documents.
+    """
+    groups = U(max(4, (1 << level) // 4))
+    group = np.where(each > 1, (mix(token + U(level)) % groups).astype(np.int64) + (each.astype(np.int64) << 40), 0)
+    order = np.argsort(group, kind="stable")
+    opens = np.searchsorted(group[order], group[order])
+    nth = np.empty(len(token), np.int64)
+    nth[order] = np.arange(len(token)) - opens + 1
+    told = first + np.cumsum((nth >= each) | (each == 1))
+    take = int(np.searchsorted(told, needed)) + 1
+    keys = []
+    if take > len(token):
+        take = len(token)
+        keys.append(mix(mix(token[: needed - first]) + U(2 * level + 1)))
+    single = token[:take][each[:take] == 1]
+    keys.append(single)
+    for k in np.unique(each[:take]).tolist():
+        if k > 1:
+            own = order[(order < take) & (each[order] == k)]
+            keys.append(mix(_combinations(token[own], group[own], k) + U(2 * level)))
+    return keys
+
+
+def prefix_keys(n: int, token: np.ndarray, df: np.ndarray, percent: int, frequent: tuple[int, ...] = FREQUENT) -> np.ndarray:
+    """Distinct index keys of a set of ``n`` tokens, of which ``token`` also occur elsewhere, in ``df`` sets.
+
+    Two sets that are as similar as asked have a key in common: see ``_level_keys``. They meet at the level of the larger
+    one, so a set has the keys of each level in which a partner at least as large may be.
+    """
+    needed = prefix_size(n, percent)
+    first = n - len(token)
+    if first >= needed:
+        return np.zeros(0, np.uint64)
+    order = np.lexsort((token, df))
+    token, df = token[order], df[order]
+    each = 1 + np.searchsorted(np.array(frequent), df, "right")
+    if each[min(len(each), needed - first) - 1] == 1:
+        return token[: needed - first]  # all rare
+    levels = range(n.bit_length() - 1, (100 * n // percent).bit_length())
+    return np.unique(np.concatenate([x for level in levels for x in _level_keys(token, each, needed, level, first)]))
+
+
+def _profiles(percent: int, frequent: tuple[int, ...]):
+    """Per document its keys, how many tokens it can share, and a bit map of these; from (doc_id, n, tokens that other sets have, too)."""
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "n", "most", "bits", "keys"])
 
-def _all_tokens(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
         for batch in batches:
-            for first, last, flat, offsets in text_slices(batch.column(1), _SLICE):
-                token, cuts = shingles(flat, offsets, k)
-                ids = batch.column(0).slice(first, last - first)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(token.view(np.int64)))], ["doc_id", "tokens"]
-                )
+            rows, held = [], 0
+            for doc, n, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                v = listed.values
+                token, df = v.field(0).to_numpy().view(np.uint64), v.field(1).to_numpy()
+                bits = np.zeros(64 * _LONGS, np.uint8)
+                bits[(mix(token) % U(64 * _LONGS)).astype(np.int64)] = 1
+                keys = prefix_keys(n, token, df, percent, frequent)
+                rows.append((doc, n, len(token), np.packbits(bits).view(np.int64), keys.view(np.int64)))
+                held += len(keys)
+                if held > 500_000:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch_of(rows)
 
     return run
 
 
-def _prefix_keys(percent: int):
-    """Index keys of documents whose tokens are all classified: rare tokens singly, frequent ones by pairs."""
+def _verified(percent: int):
+    """Of pairs (a, b, tokens of a, tokens of b) those that link; tokens are in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
         for batch in batches:
-            for doc, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
-                v = rows.values
-                token, often = v.field(0).to_numpy().view(np.uint64), v.field(1).to_numpy(zero_copy_only=False).astype(bool)
-                order = np.lexsort((token, often))
-                token, often = token[order], often[order]
-                p = prefix_size(len(token), percent)
-                rare = min(p, int((~often).sum()))
-                keys = [token[:rare]]
-                if rare < p:
-                    common = token[rare : rare + p - rare + 1]
-                    i, j = np.triu_indices(len(common), 1)
-                    keys.append(mix(mix(common[i]) + common[j] * _NEXT))
-                keys = np.concatenate(keys).view(np.int64)
-                for lo in range(0, len(keys), 500_000):
-                    part = keys[lo : lo + 500_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), len(token))), pa.array(part)], ["doc_id", "n", "key"])
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = np.concatenate((x, y))
+                both.sort(kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                keep[i] = common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
     return run
 
 
-def _verified(k: int, percent: int):
-    """Of pairs (a, b, text of a, text of b) those that link."""
-
-    def tokens(column) -> list[np.ndarray]:
-        out = []
-        for _, _, flat, offsets in text_slices(column, _SLICE):
-            token, cuts = shingles(flat, offsets, k)
-            out += [token[c:d] for c, d in zip(cuts[:-1], cuts[1:])]
-        return out
+def _set_sizes(k: int):
+    """(doc_id, n) of rows (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
         for batch in batches:
-            for lo in range(0, batch.num_rows, _PAIRS):
-                part = batch.slice(lo, _PAIRS)
-                keep = np.zeros(part.num_rows, bool)
-                for i, (x, y) in enumerate(zip(tokens(part.column(2)), tokens(part.column(3)))):
-                    both = np.concatenate((x, y))
-                    both.sort(kind="stable")
-                    common = int((both[1:] == both[:-1]).sum())
-                    keep[i] = common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
-                yield part.select([0, 1]).filter(pa.array(keep))
+            for first, last, flat, offsets in text_slices(batch.column(1), _SLICE):
+                _, cuts = shingles(flat, offsets, k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(np.diff(cuts))], ["doc_id", "n"])
 
     return run
 
@@ -304,7 +313,9 @@ def _verified(k: int, percent: int):
 def _sets(lean: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, lone, one, two) of all documents, staged: size of the set, its tokens that no other set has, two digests of it."""
     spark = lean.sparkSession
-    buckets = partitions(spark, 8)
+    # a bucket is one task's share in memory: that of some 8 MB of input files
+    size = int(lean._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    buckets = max(partitions(spark, 8), size // 8_000_000 if size < 1 << 50 else 0)  # larger: the optimiser does not know the size
     messages = stage(lean.mapInArrow(_count_messages(k, buckets), "bucket long, slice long, tokens binary, docs binary, sets binary"), "counts")
     parts = "slice long, ids binary, sizes binary, sets binary, lone binary"
     heads = messages.where("bucket < 0").select("slice", F.col("tokens").alias("ids"), F.col("docs").alias("sizes"), "sets", F.lit(None).cast("binary").alias("lone"))
@@ -315,57 +326,41 @@ def _sets(lean: DataFrame, k: int) -> DataFrame:
     return out
 
 
-def _index(reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(key, doc_id, n, at): documents by index key, keys of one document left out; ``at`` numbers a key's documents."""
-    listed = reps.select("doc_id", "n", F.explode("head").alias("key"))
-    often = stage(listed.groupBy("key").count().where(F.col("count") >= FREQUENT).select("key"), "frequent")
-    p = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    # rare tokens of the list, as far as the prefix goes; documents whose list holds too few are looked at whole
-    marked = listed.join(often.withColumn("often", F.lit(True)), "key", "left")
-    short = stage(
-        marked.where("often").groupBy("doc_id", "n").agg(F.count("*").alias("common"))
-        .join(reps.select("doc_id", F.size("head").alias("listed")), "doc_id")
-        .where(F.col("listed") - F.col("common") < p)
-        .select("doc_id"),
-        "short",
-    )
-    order = Window.partitionBy("doc_id").orderBy(F.col("key"))
-    plain = (
-        reps.join(short, "doc_id", "left_anti")
-        .select("doc_id", "n", p.alias("p"), F.explode("head").alias("key"))
-        .join(often, "key", "left_anti")
-        .withColumn("nth", F.row_number().over(order))
-        .where("nth <= p")
-        .select("doc_id", "n", "key")
-    )
-    whole = (
-        texts.join(short, "doc_id", "left_semi")
-        .mapInArrow(_all_tokens(k), "doc_id long, tokens array<long>")
-        .select("doc_id", F.explode("tokens").alias("key"))
-        .join(often.withColumn("often", F.lit(True)), "key", "left")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("key", F.coalesce("often", F.lit(False)).alias("often"))).alias("tokens"))
-        .mapInArrow(_prefix_keys(percent), "doc_id long, n long, key long")
+def _index(sets: DataFrame, percent: int, frequent: tuple[int, ...]) -> DataFrame:
+    """(key, doc_id, n, most, bits, weight), staged: documents by index key, without keys that one document has alone.
+
+    ``most`` tokens of a set can be shared, ``bits`` maps them; ``weight`` is the sum of the sizes of a document's keys.
+    """
+    spread = sets.select("doc_id", F.explode("tokens").alias("token"))
+    common = spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    listed = spread.join(common, "token").groupBy("doc_id").agg(F.collect_list(F.struct("token", "df")).alias("listed"))
+    profiles = stage(
+        listed.join(sets.select("doc_id", F.size("tokens").cast("long").alias("n")), "doc_id")
+        .select("doc_id", "n", "listed")
+        .mapInArrow(_profiles(percent, frequent), "doc_id long, n long, most long, bits array<long>, keys array<long>"),
+        "profiles",
     )
-    rows = stage(plain.unionByName(whole.select("doc_id", "n", "key")), "keys")
+    rows = profiles.select("doc_id", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     rows = stage(rows.join(shared, "key"), "shared-keys")
-    # the document that shares most with others comes first under its keys: as a pivot it links most of them at once
-    central = rows.groupBy("doc_id").agg(F.sum("c").alias("weight"))
-    by_key = Window.partitionBy("key").orderBy(F.desc("weight"), "doc_id")
-    # what a set can share with others: all but its lone tokens
-    central = central.join(reps.select("doc_id", (F.col("n") - F.col("lone")).alias("most")), "doc_id")
-    return stage(rows.drop("c").join(central, "doc_id").withColumn("at", F.row_number().over(by_key)).drop("weight"), "index")
+    weight = rows.groupBy("doc_id").agg(F.sum("c").alias("weight"))
+    index = stage(rows.select("doc_id", "key").join(profiles.select("doc_id", "n", "most", "bits").join(weight, "doc_id"), "doc_id"), "index")
+    unstage(rows)
+    unstage(profiles)
+    return index
 
 
-def link_documents(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_documents(
+    docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", frequent: tuple[int, ...] = FREQUENT
+) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
     A document's set holds its distinct shingles of ``words_each`` words, A-Z lower-cased; with fewer
     words, the whole sequence as one. Two documents link when 100 * intersection >= ``percent`` *
     union. Null, empty and blank texts have an empty set and link with nothing. ``component_id`` is the
     smallest id reachable by links, itself included. Rows that repeat an id are one document and one row of
-    the result; rows with a null id are left out.
+    the result; a row with a null id is a row of the result, links with nothing and has no component.
+    ``frequent``: in how many sets a token occurs from which on its keys are pairs, triples and so on.
     """
     base = with_id(docs, id_col, text_col)
     lean = base.where("doc_id is not null")
@@ -373,75 +368,73 @@ def link_documents(docs: DataFrame, words_each: int = WORDS, percent: int = PERC
     by = ["n", "one", "two"]
     classes = sizes.where("n > 0").groupBy(*by).agg(F.min("doc_id").alias("rep"), F.max("lone").alias("lone"))
     p = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    wanted = stage(classes.where(F.col("lone") < p).select("rep", "n", "lone"), "wanted")
-    texts = stage(lean.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "candidates")
-    profiles = texts.mapInArrow(_profiles(words_each, percent), "doc_id long, sketch binary, bits array<long>, head array<long>")
-    sets = stage(profiles.dropDuplicates(["doc_id"]).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id"), "sets")
-    index = _index(sets.select("doc_id", "n", "lone", "head"), texts, words_each, percent)
-    named = components(_resolve(index, sets.select("doc_id", "n", "sketch", "bits"), texts, words_each, percent))
+    wanted = classes.where(F.col("lone") < p).select(F.col("rep").alias("doc_id"))
+    texts = lean.join(wanted, "doc_id", "left_semi")
+    sets = stage(texts.mapInArrow(_all_tokens(words_each), "doc_id long, tokens array<long>").dropDuplicates(["doc_id"]), "sets")
+    named = _resolve(_index(sets, percent, frequent), sets, percent)
     # every document has the component of the first document with its set
     placed = classes.select(*by, "rep").join(named, F.col("rep") == F.col("node"), "left").select(*by, F.coalesce("component", "rep").alias("component"))
     every = sizes.groupBy("doc_id").agg(F.max(F.struct(*by)).alias("s")).select("doc_id", "s.*")
-    return every.join(placed, by, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def _resolve(index: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """All links that matter for components: pairs (a, b) of the pivots' comparisons that link."""
-    spark = index.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    done = links
-    last = index.agg(F.max("at")).first()[0] or 0
-    low, high = 1, 2  # pivots are the documents numbered low to high - 1 under their key
-    bits = sets.select("doc_id", "bits")
-    open_, named = index.withColumn("component", F.col("doc_id")), None
-    while low <= last:
-        needed = F.lit(percent) * (F.col("n") + F.col("pn"))  # common tokens a link takes, times 100 + percent
-        enough = F.lit(100 + percent) * F.least("most", "pmost") >= needed
-        pivot = open_.where(F.col("at").between(low, high - 1)).select(
-            "key", F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("most").alias("pmost"), F.col("at").alias("pat"), F.col("component").alias("pc")
-        )
-        rows = open_
-        if low > 1:  # a bit that one set has and the other has not is a token that they do not share
-            rows = open_.join(bits.select("doc_id", *[F.col("bits")[i].alias(f"x{i}") for i in range(_LONGS)]), "doc_id")
-            pivot = pivot.join(bits.select(F.col("doc_id").alias("p"), *[F.col("bits")[i].alias(f"y{i}") for i in range(_LONGS)]), "p")
-            lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(f"{y}{i}"))) for i in range(_LONGS)), F.lit(0))
-            enough = enough & (F.lit(100 + percent) * (F.col("n") - lacks("x", "y")) >= needed) & (F.lit(100 + percent) * (F.col("pn") - lacks("y", "x")) >= needed)
-        pairs = (
-            rows.join(pivot, "key")
-            .where("at > pat and component <> pc")
-            .where(enough)
-            .select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b"))
-            .distinct()
-        )
-        pairs = stage(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        likely = stage(
-            pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
-            .join(sets.select(F.col("doc_id").alias("a"), "n", F.col("sketch").alias("x")), "a")
-            .select("a", "b", "n", "x", "m", "y")
-            .mapInArrow(_pruned(percent), "a long, b long"),
-            "likely",
-        )
-        found = stage(
-            likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-            .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-            .select("a", "b", "text_a", "text_b")
-            .mapInArrow(_verified(k, percent), "a long, b long"),
-            "links",
-        )
-        links, done = links.unionByName(found), done.unionByName(pairs)
-        low, high = high, high * 64
-        if low > last:
-            break
-        if named is None or not found.isEmpty():
-            named = components(links)
-        placed = index.join(named, index.doc_id == named.node, "left").select("key", "doc_id", "n", "most", "at", F.coalesce("component", "doc_id").alias("component"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("at").alias("top")).where((F.col("x") != F.col("y")) & (F.col("top") > low)).select("key")
-        open_ = stage(placed.join(mixed, "key", "left_semi"), "open")
-        last = open_.agg(F.max("at")).first()[0] or 0
-    return links
+    nameless = base.where("doc_id is null").mapInArrow(_set_sizes(words_each), "doc_id long, n long")
+    return (
+        every.join(placed, by, "left")
+        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        .unionByName(nameless.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+    )
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that link, staged."""
+    return stage(
+        pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
+        .join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
+        .select("a", "b", "x", "y")
+        .mapInArrow(_verified(percent), "a long, b long"),
+        "links",
+    )
+
+
+def _may_link(percent: int, x: str, y: str):
+    """False only where the bit maps prove that two sets do not link.
+
+    A set shares none of its lone tokens, nor those whose bit the other set's map lacks.
+    """
+    lacks = lambda u, v: sum((F.bit_count(F.col(f"{u}.bits")[i].bitwiseAND(F.bitwise_not(F.col(f"{v}.bits")[i]))) for i in range(_LONGS)), F.lit(0))
+    needed = F.lit(percent) * (F.col(f"{x}.n") + F.col(f"{y}.n"))  # common tokens that a link takes, times 100 + percent
+    few = F.lit(100 + percent) * F.least(f"{x}.most", f"{y}.most") >= needed
+    return few & (F.lit(100 + percent) * (F.col(f"{x}.most") - lacks(x, y)) >= needed) & (F.lit(100 + percent) * (F.col(f"{y}.most") - lacks(y, x)) >= needed)
+
+
+def _resolve(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of all documents that link: first with the pivots of keys, then all pairs under keys that still hold several components."""
+    # the document that shares most with others is the pivot of its keys: it links most of them at once
+    pivots = index.groupBy("key").agg(F.max_by(F.struct("doc_id", "n", "most", "bits"), F.struct("weight", -F.col("doc_id"))).alias("row")).select("key", "row.*")
+    x, y = index.alias("x"), pivots.alias("y")
+    pairs = (
+        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") != F.col("y.doc_id")) & _may_link(percent, "x", "y"))
+        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+        .distinct()
+    )
+    links = _linked(pairs, sets, percent)
+    named = components(links)
+    placed = stage(index.join(named, index.doc_id == named.node, "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node", "weight"), "placed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("greatest"), F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
+    rows = placed.join(mixed.where("least <> greatest").select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    # a hot key's documents are dealt to blocks, and each pair of blocks is a task's share of its own
+    x = rows.withColumn("lower", F.col("own")).withColumn("upper", F.explode(F.sequence("own", F.col("blocks") - 1))).alias("x")
+    y = rows.withColumn("upper", F.col("own")).withColumn("lower", F.explode(F.sequence(F.lit(0), F.col("own")))).alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.lower") == F.col("y.lower")) & (F.col("x.upper") == F.col("y.upper"))
+    once = (F.col("x.lower") < F.col("x.upper")) | (F.col("x.doc_id") < F.col("y.doc_id"))
+    pairs = (
+        x.join(y, same & once & (F.col("x.component") != F.col("y.component")) & _may_link(percent, "x", "y"))
+        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+        .distinct()
+    )
+    more = _linked(pairs, sets, percent)
+    return named if more.isEmpty() else components(links.unionByName(more))
 
 
 def keep_one(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component, that with the smallest id; columns unchanged. Rows without an id stay."""
-    drop = link_documents(docs, words_each, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(drop, docs.doc_id == F.col("__id"), "left_anti")
+    drop = link_documents(docs, words_each, percent).where("component_id <> doc_id").select("doc_id")
+    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)

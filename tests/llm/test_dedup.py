@@ -177,20 +177,55 @@ def test_long_text_parts():
 # n-grams
 
 
-@pytest.mark.parametrize("k, percent, frequent", [(4, 85, 512), (5, 80, 512), (5, 80, 3), (1, 95, 2), (2, 50, 4)])
+@pytest.mark.parametrize("k, percent, frequent", [(4, 85, (512, 4096)), (5, 80, (512,)), (5, 80, (3, 6)), (5, 80, (2, 2)), (1, 95, (2, 3)), (2, 50, (4,))])
 def test_ngram_links(spark, texts, monkeypatch, k, percent, frequent):
-    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
-    rows = {r.doc_id: r for r in ngram_join.link_documents(frame(spark, texts), k, percent).collect()}
+    monkeypatch.setattr(ngram_join, "_BLOCK", 5)
+    rows = {r.doc_id: r for r in ngram_join.link_documents(frame(spark, texts), k, percent, frequent=frequent).collect()}
     sets, component = brute.ngram_components(texts, k, percent)
     assert {i: (rows[i].n_shingles, rows[i].component_id) for i in rows} == {i: (len(sets[i]), component[i]) for i in texts}
 
 
+@pytest.mark.parametrize("frequent", [(512,), (4,), (3, 6), (2, 2), (2, 4, 8)])
+@pytest.mark.parametrize("percent", [85, 80, 50])
+def test_linked_sets_have_a_key_in_common(frequent, percent):
+    rng = np.random.default_rng(percent + len(frequent))
+    pools = [np.unique(rng.integers(0, 2**63, size, dtype=np.uint64)) for size in (6, 40, 150, 700)]
+    sets = []
+    for pool in pools:
+        for share in rng.uniform(0.02, 0.3, 25):
+            own = pool[rng.random(len(pool)) > share * rng.random()]
+            sets.append(np.unique(np.concatenate((own, rng.integers(0, 2**63, int(share * len(pool) * rng.random()), dtype=np.uint64)))))
+    sets = [s for s in sets if len(s)]
+    token, count = np.unique(np.concatenate(sets), return_counts=True)
+    keys, linked = [], 0
+    for s in sets:
+        df = count[np.searchsorted(token, s)]
+        keys.append(set(ngram_join.prefix_keys(len(s), s[df > 1], df[df > 1], percent, frequent).tolist()))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            c = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * c >= percent * (len(x) + len(y) - c):
+                linked += 1
+                assert keys[i] & keys[j]
+    assert linked > 100
+
+
+def test_number_of_combinations_is_bounded():
+    """Keys of a document whose tokens are all frequent do not grow faster than its tokens."""
+    rng = np.random.default_rng(8)
+    for df in (600, 5000):
+        for n in (500, 4000, 30_000):
+            token = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            assert len(ngram_join.prefix_keys(len(token), token, np.full(len(token), df), 85)) < 4 * n
+
+
 def test_ngram_edges(spark):
     assert ngram_join.link_documents(frame(spark, {1: "a"}).limit(0)).count() == 0
     d = frame(spark, {1: "a b c d e f"}).unionByName(frame(spark, {1: "a b c d e f"}))
     assert [tuple(r) for r in ngram_join.link_documents(d).collect()] == [(1, 2, 1)]
     null = spark.createDataFrame([(None, "a b"), (3, "a b"), (2, "A  b")], "doc_id long, text string")
-    assert sorted(tuple(r) for r in ngram_join.link_documents(null).collect()) == [(2, 1, 2), (3, 1, 2)]
+    assert sorted((r[0] or 0, *r[1:]) for r in ngram_join.link_documents(null).collect()) == [(0, 1, None), (2, 1, 2), (3, 1, 2)]
+    assert ngram_join.keep_one(null).count() == 2
 
 
 def test_keep_one(spark, texts):
@@ -200,17 +235,6 @@ def test_keep_one(spark, texts):
     assert out.columns == d.columns and {r.doc_id for r in out.collect()} == {i for i in texts if component[i] == i}
 
 
-def test_sketch_never_prunes_a_link():
-    rng = np.random.default_rng(3)
-    for n in (5, 300, 5000):
-        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-        for share in (0.5, 0.8, 0.9, 1.0):
-            y = np.unique(np.concatenate((x[: int(share * len(x))], rng.integers(0, 2**63, len(x) - int(share * len(x)), dtype=np.uint64))))
-            c = len(np.intersect1d(x, y))
-            if 100 * c >= 80 * (len(x) + len(y) - c):
-                assert ngram_join._may_link(len(x), ngram_join._sketch(x), len(y), ngram_join._sketch(y), 80)
-
-
 # exact copies
 
 
