@@ -40,10 +40,14 @@ def free_worker() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, which ``spark.checkpoint.dir`` names; without it a temporary one, but only where all run on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _own_dir.setdefault("dir", tempfile.mkdtemp(prefix="marlstone-"))
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if "dir" not in _own_dir:
+            _own_dir["dir"] = tempfile.mkdtemp(prefix="marlstone-")
+        base = _own_dir["dir"]
     return base.rstrip("/")
 
 
@@ -70,6 +74,14 @@ def unstage(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have; names count as equal whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
