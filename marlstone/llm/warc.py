@@ -14,14 +14,14 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path
 
-#: bytes of an archive at most (one record alone may be longer); bounds what a reading task holds
+#: bytes of an archive from which a task begins another one; bounds, but for one record more, what a reading task holds
 ARCHIVE_BYTES = 32_000_000
-_HEAD_BYTES = 1_000
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = b"\r\n\r\n"
 #: fixed value: the profile of a revisit with the same payload
@@ -57,7 +57,6 @@ def write_warc(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload")
     ).withColumn("sha", F.sha1(F.col("payload").cast("binary")))
     groups = base.groupBy("sha").agg(F.max("page_id").alias("first_id"), F.max(F.octet_length("payload")).alias("n"))
-    longest = groups.agg(F.max("n")).first()[0] or 0
     # decided on (id, digest) alone and joined back by id: no task gathers the payloads of a large group of copies
     decided = (
         base.select("page_id", "sha")
@@ -90,11 +89,26 @@ def write_warc(
         F.lit("\r\n\r\n"),
     )
     # rows go to Python a hundred at a time: an Arrow batch of payloads would hold ten thousand
-    member = F.udf(_cut_member, "binary", useArrow=False)
-    out = rows.withColumn("http", http).withColumn("body", body).select(member(record).alias("value"))
+    member = F.udf(_filed, "archive int, value binary", useArrow=False).asNondeterministic()
+    out = rows.withColumn("http", http).withColumn("body", body).select(member(record).alias("member"))
     # the sink writes the bytes of a string as they are, and its line end is the zero that ends every member
-    out = out.select(F.col("value").cast("string").alias("value"))
-    out.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // (longest + _HEAD_BYTES))).text(path)
+    out = out.select(F.col("member.value").cast("string").alias("value"), F.col("member.archive").alias("archive"))
+    out.write.partitionBy("archive").option("lineSep", "\0").option("compression", "none").text(path)
+
+
+_filled: dict[str, int] = {}
+
+
+def _filed(record: str) -> tuple[int, bytes]:
+    """A record as ``_cut_member`` gives it, and the number of its archive: a task goes on to the next one where ARCHIVE_BYTES are reached."""
+    task = str(TaskContext.get().taskAttemptId()) if TaskContext.get() else ""
+    if task not in _filled:
+        _filled.clear()  # a worker runs one task at a time
+        _filled[task] = 0
+    data = _cut_member(record)
+    number = _filled[task] // ARCHIVE_BYTES
+    _filled[task] += len(data) + 1
+    return number, data
 
 
 def _cut_member(record: str) -> bytes:
@@ -294,7 +308,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ROWS)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, ROWS)
 
 
 def page_id(name: Column) -> Column:
@@ -303,10 +317,14 @@ def page_id(name: Column) -> Column:
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder, read them back: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
+    """Write ``pages`` to archives in the shared folder, read them back: (page_id, payload_bytes, payload_digest, record_type, refers_to).
+
+    A row per row of ``pages``; a gap in an archive just written is an error, so no page is lost silently.
+    """
     path = new_path(pages.sparkSession, "warc")
     write_warc(pages, path, least_bytes)
-    found = read_warc(pages.sparkSession, path, payloads=False).where(F.col("quarantine").isNull())
+    gap = F.concat_ws(" ", F.lit("gap in"), "file", F.lit("at"), F.col("offset").cast("string"), "quarantine")
+    found = read_warc(pages.sparkSession, path, payloads=False).where(F.when(F.col("quarantine").isNull(), True).otherwise(F.raise_error(gap).cast("boolean")))
     return found.select(
         page_id(F.col("record_id")).alias("page_id"),
         "payload_bytes",
