@@ -20,8 +20,8 @@ from .bytesops import text_slices
 from .common import free_worker
 from .quality import hash_fold
 
-#: labelled rows that a fit reads at most, and windows of a row that it trains on
-FIT_ROWS, FIT_WINDOWS = 3_000, 4
+#: labelled rows that a fit reads at most, each with its whole text
+FIT_ROWS = 3_000
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBED = 16, 8
@@ -180,11 +180,8 @@ def fit(docs: DataFrame, fold: Column, rows: int = FIT_ROWS) -> bytes | None:
         xs, ys = [], []
         for first, last, flat, offsets in text_slices(table.column("text")):
             x, doc = windows(flat, offsets)
-            nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            full = np.maximum(1, np.bincount(doc, minlength=last - first))[doc]
-            keep = (nth * FIT_WINDOWS) // full != ((nth - 1) * FIT_WINDOWS) // full  # spread over the text
-            xs.append(x[keep])
-            ys.append(number[first + doc[keep]])
+            xs.append(x)
+            ys.append(number[first + doc])
         model = ByteCNN(labels)
         if sum(map(len, xs)):
             model.fit(np.concatenate(xs), np.concatenate(ys))
