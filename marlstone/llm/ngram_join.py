@@ -384,10 +384,10 @@ def link_documents(
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link, staged."""
+    """Those of the pairs (a, b) that link, staged. One ``a`` may have very many ``b``: its rows meet its tokens before they carry others."""
     return stage(
-        pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
-        .join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
+        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
+        .join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
         .select("a", "b", "x", "y")
         .mapInArrow(_verified(percent), "a long, b long"),
         "links",
@@ -412,7 +412,7 @@ def _resolve(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     x, y = index.alias("x"), pivots.alias("y")
     pairs = (
         x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") != F.col("y.doc_id")) & _may_link(percent, "x", "y"))
-        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+        .select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b"))
         .distinct()
     )
     links = _linked(pairs, sets, percent)
