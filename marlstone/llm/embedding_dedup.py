@@ -116,7 +116,7 @@ def link_vectors(
         "blocks",
     )
     blocks = rows.groupBy("space", "block").agg(F.first("cell").alias("cell"), F.max("far").alias("radius"))
-    reach = float(np.sqrt(2 - 2 * cosine)) + 1e-9
+    reach = float(np.sqrt(2 - 2 * cosine)) + 1e-7
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytesops import U, mix, prefix_hash, span_hash, text_slices, words
-from .common import free_worker
+from .common import free_name, free_worker
 
 #: labelled rows that a fit reads at most: those with the smallest hash of their id
 FIT_ROWS = 6_000
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column, rows: int = FIT_ROWS,
     return np.frombuffer(found[0]["weights"], np.float32) if found else fit_ftrl([], np.zeros(0))
 
 
-def add_score(docs: DataFrame, weights: np.ndarray, name: str = "__score") -> DataFrame:
+def add_score(docs: DataFrame, weights: np.ndarray, name: str) -> DataFrame:
     """``docs`` with all its columns and the score of each row's whole text. Null and empty texts get the score of the intercept."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     at = docs.columns.index("text")
@@ -175,4 +175,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that the classifier rejects; columns unchanged."""
-    return add_score(docs, fit(docs, labels, hash_fold(5) != 0)).where(F.col("__score") >= threshold).drop("__score")
+    score = free_name(docs, "score")
+    return add_score(docs, fit(docs, labels, hash_fold(5) != 0), score).where(F.col(score) >= threshold).drop(score)

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .bytesops import U, mix, powers, prefix_hash, span_hash, text_slices
 from .collection_bwt import suffixes
-from .common import free_worker, partitions, stage, with_id
+from .common import free_name, free_worker, partitions, stage, with_id
 
 SPAN = 100
 ANCHOR = 48
@@ -473,8 +473,9 @@ def _cut(text_at: int, columns: list[int], decode: bool):
 
 
 def _gathered(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    lists = ranges.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "end")).alias("__ranges"))
-    return docs.join(lists, docs.doc_id == F.col("__id"), "left").drop("__id")
+    own, gathered = free_name(docs, "own_id"), free_name(docs, "ranges")
+    lists = ranges.groupBy(F.col("doc_id").alias(own)).agg(F.collect_list(F.struct("start", "end")).alias(gathered))
+    return docs.join(lists, docs.doc_id == F.col(own), "left").drop(own)
 
 
 def removal_report(docs: DataFrame, span: int = SPAN) -> DataFrame:

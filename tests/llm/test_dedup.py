@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import collection_bwt, common, cover_tree, embedding_dedup, exact_dedup, ngram_join, suffix_dedup
 from tests.llm import brute
@@ -256,12 +257,54 @@ def test_exact_in_batches(spark):
     with pytest.raises(ValueError):
         exact_dedup.exact_dedup(frame(spark, {7: "x"}), index=index, batch="two")
     again = spark.read.parquet(index.path)
-    assert again.where("keep_id is not null").count() == 4
+    assert again.where("is_first").count() == 4
+
+
+def test_index_opened_again_knows_its_digests(spark):
+    texts = {i: prose(i, 5) for i in range(400)}
+    first = exact_dedup.DigestIndex(spark, buckets=32)
+    exact_dedup.exact_dedup(frame(spark, texts), index=first, batch="one")
+    first.close()
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        second = exact_dedup.DigestIndex(spark, first.path)
+        assert second.buckets == 32
+        rows = exact_dedup.exact_dedup(frame(spark, {1000 + i: t for i, t in texts.items()}), index=second, batch="two").collect()
+        assert len(rows) == 400 and all(r.keep_id == r.doc_id - 1000 and not r.kept and r.group_size == 2 for r in rows)
+        with pytest.raises(ValueError):
+            exact_dedup.DigestIndex(spark, first.path, buckets=8)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_null_ids_across_batches(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=2)
+    batch = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    assert [tuple(r)[:4] for r in exact_dedup.exact_dedup(batch((None, "a")), index=index, batch="1").collect()] == [(None, None, 1, True)]
+    assert [tuple(r)[:4] for r in exact_dedup.exact_dedup(batch((7, "a")), index=index, batch="2").collect()] == [(7, None, 2, False)]
+    assert index.rows().where("is_first").count() == 1
+
+
+def test_no_table_is_left_in_the_catalog(spark, texts):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert exact_dedup.exact_dedup(frame(spark, texts)).count() == len(texts) and {t.name for t in spark.catalog.listTables()} == before
+
+
+@pytest.mark.parametrize("stage", ["exact", "ngram", "suffix"])
+def test_stages_with_columns_named_like_helpers(spark, texts, stage):
+    names = ["own_key", "OWN_ID", "ranges", "score", "__id", "__sha", "__kept", "__ranges", "key", "component_id", "tokens", "text_sha256", "digest", "kept", "node", "a", "b", "n"]
+    d = frame(spark, texts).select("doc_id", "text", "n_chars", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    run = {"exact": exact_dedup.drop_copies, "ngram": ngram_join.keep_one, "suffix": suffix_dedup.remove_repeats}[stage]
+    rows = run(d).collect()
+    assert run(d).dtypes == d.dtypes and {r.doc_id for r in rows} == {r.doc_id for r in run(frame(spark, texts)).collect()}
+    assert all([r[c] for c in names] == list(range(len(names))) for r in rows)
 
 
 def test_exact_nulls_and_repeats(spark):
     d = spark.createDataFrame([(None, "xx x"), (2, "xxx"), (2, "xxx")], "doc_id long, text string")
-    assert sorted((r.doc_id or -1, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(d).collect()) == [(-1, None, 2, True), (2, None, 2, False)]
+    assert sorted((r.doc_id or -1, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(d).collect()) == [(-1, None, 3, True), (2, None, 3, False), (2, None, 3, False)]
+    twice = d.where("doc_id = 2")
+    assert [tuple(r)[:4] for r in exact_dedup.exact_dedup(twice).collect()] == [(2, 2, 2, True)] * 2
     assert exact_dedup.drop_copies(d).count() == 1 == exact_dedup.drop_copies(d.where("doc_id = 2")).count()
 
 

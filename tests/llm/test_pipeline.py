@@ -1,12 +1,15 @@
 import os
+import zlib
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from marlstone.llm import quality, queries
+from marlstone.llm import packing, quality, queries
 from tests.llm import brute
 from tests.llm.test_dedup import corpus, prose
+from tests.llm.test_single import check_places
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,9 +37,17 @@ def test_against_brute_force(spark, tmp_path):
         step.write.parquet(f"{tmp_path}/{name}")
         step = spark.read.parquet(f"{tmp_path}/{name}")
     assert {r.doc_id: r.text or "" for r in step.collect()} == cut
-    packed = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r.doc_id for r in packed.collect()} == set(cut)
-    assert packed.agg(F.max("length")).first()[0] <= 2048
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    check_places(packed, 2048)
+    assert {r.doc_id for r in packed} == set(cut)
+    for i, t in cut.items():
+        ids = tokenizer.encode(t, add_special_tokens=False).ids + [1]
+        own = sorted((x for x in packed if x.doc_id == i), key=lambda x: x.start)
+        assert [x.start for x in own] == [sum(y.length for y in own[:k]) for k in range(len(own))] and sum(x.length for x in own) == len(ids)
+        assert all(zlib.crc32(np.asarray(ids[x.start : x.start + x.length], "<u4").tobytes()) == x.ids_crc32 and x.doc_tokens == len(ids) for x in own)
+    total = sum(r.length for r in packed)
+    assert len({r.sequence_id for r in packed}) <= -(-total // 2048) + 1
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import language, packing, quality, sentence_pieces, url_filter, warc
 from tests.llm.test_dedup import frame, prose
@@ -90,6 +91,7 @@ def test_pieces_like_the_library(spark):
     r = random.Random(2)
     texts = [t or "" for t in ODD.values()] + ["\0a b", "▁x", "a▁▁b", "  a \n b", "the" * 80, "é\u0301", "<s> <0x41>", "\n\n"]
     texts += ["".join(r.choice("abthe  \n▁é,.日\0x") for _ in range(r.randint(0, 30))) for _ in range(500)]
+    texts += ["".join(r.choice("abthe") for _ in range(n)) for n in (63, 64, 65, 300)]
     e = sentence_pieces.PieceEncoder(sentence_pieces.Pieces.load(sentence_pieces.default_model()), bound=200)
     for t in texts:
         ids = e.encode([t])[0]
@@ -150,6 +152,34 @@ def test_language(spark):
     assert language.identify(d.limit(0)).count() == 0
 
 
+def test_language_rows_against_plain_version(spark):
+    """The whole query beside a plain one: fold, order, windows, fit, convolution, averages."""
+    own = {i: v for i, v in languages().items() if i < 60}
+    d = spark.createDataFrame([(i, t, lang, "x", 1) for i, (lang, t) in own.items()], "doc_id long, text string, lang string, lang_pred string, letter int").repartition(3)
+    got = {r.doc_id: r for r in language.identify(d).collect()}
+    learned = [r.doc_id for r in d.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    labels = sorted({own[i][0] for i in learned})
+
+    def cut(text):
+        data = text.encode()
+        return [[int(language.BYTE_CLASS[b]) for b in data[at : at + 256].ljust(256)] for at in range(0, len(data), 256)]
+
+    x = [(w, labels.index(own[i][0])) for i in learned for w in cut(own[i][1])]
+    net = language.ByteCNN(labels).fit(np.array([w for w, _ in x], np.uint8), np.array([y for _, y in x]))
+    for i, (_, text) in own.items():
+        logs = []
+        for w in cut(text):
+            e = net.embed[w]
+            top = [max(0.0, float(b + max(sum(e[at + k] @ f[k][:, j] for k in range(len(f))) for at in range(len(w) - len(f) + 1)))) for f, bias in zip(net.filters, net.bias) for j, b in list(enumerate(bias))[:4]] if i < 3 else None
+            h = np.concatenate([np.maximum(np.stack([sum(e[at + k] @ f[k] for k in range(len(f))) for at in range(len(w) - len(f) + 1)]).max(0) + bias, 0) for f, bias in zip(net.filters, net.bias)])
+            assert top is None or top == pytest.approx([float(v) for n in range(len(net.filters)) for v in h[16 * n : 16 * n + 4]], abs=1e-4)
+            z = h @ net.out + net.out_bias
+            logs.append(z - np.log(np.exp(z).sum()))
+        p = np.exp(np.mean(logs, axis=0))
+        p /= p.sum()
+        assert got[i].score == pytest.approx(p.max(), abs=1e-3) and (got[i].lang_pred == labels[int(p.argmax())] or np.sort(p)[-1] - np.sort(p)[-2] < 1e-3)
+
+
 def test_network_tables_and_gradients():
     net = language.ByteCNN(["a", "b", "c"])
     rng = np.random.default_rng(0)
@@ -194,6 +224,58 @@ def test_quality(spark):
     assert {r.score for r in quality.classify(d, labels.limit(0)).collect()} == {0.5} and quality.classify(d.limit(0), labels).count() == 0
 
 
+def test_quality_rows_against_plain_version(spark):
+    """The whole query beside a plain one: fold, order, updates a coordinate at a time, dot products."""
+    texts = {i: prose(i, 30) if i % 3 else " ".join(w.upper() + "!!" for w in prose(i, 30).split()) for i in range(80)} | {100: None, 101: ""}
+    d = frame(spark, texts).withColumn("label", F.lit("clash")).withColumn("at", F.lit(1)).withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(80)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.classify(d, labels).collect()}
+    order = [r.doc_id for r in labels.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+
+    def features(text):
+        slots, _ = quality.features(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())]))
+        out = {"intercept": 1.0}
+        for s in slots.reshape(-1).tolist():
+            out[s] = out.get(s, 0.0) + quality.SCALE / slots.shape[1]
+        return out
+
+    z, n = {}, {}
+
+    def weight(k):
+        shrunk = z.get(k, 0.0)
+        if k != "intercept":
+            shrunk = (shrunk > 0) * max(0.0, shrunk - quality.L1) - (shrunk < 0) * max(0.0, -shrunk - quality.L1)
+        return -shrunk / ((quality.BETA + n.get(k, 0.0) ** 0.5) / quality.ALPHA + quality.L2)
+
+    def score(f):
+        return 1 / (1 + np.exp(-sum(weight(k) * v for k, v in f.items())))
+
+    for _ in range(quality.EPOCHS):
+        for i in order:
+            f = features(texts[i])
+            p, w = score(f), {k: weight(k) for k in f}
+            for k, v in f.items():
+                g, old = (p - (i % 3 > 0)) * v, n.get(k, 0.0)
+                n[k] = old + g * g
+                z[k] = z.get(k, 0.0) + g - (n[k] ** 0.5 - old**0.5) / quality.ALPHA * w[k]
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        assert got[i].score == pytest.approx(score(features(t)), abs=1e-5)
+    kept = quality.keep_good(d, labels)
+    assert kept.dtypes == d.dtypes and {r.score for r in kept.collect()} == {"clash"}
+
+
+def test_features_tell_words_apart():
+    """Two places have one slot exactly where the word, or the word and the one before, are the same."""
+    text = "A b, b b!! 12 A b, c B, b"
+    w = text.split()
+    slots, _ = quality.features(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    for i in range(len(w)):
+        for j in range(len(w)):
+            assert (slots[0, i] == slots[0, j]) == (w[i] == w[j])
+            assert (slots[1, i] == slots[1, j]) == (w[max(0, i - 1) : i + 1] == w[max(0, j - 1) : j + 1] and (i > 0) == (j > 0))
+
+
 def test_features_and_scores_agree():
     texts = pa.array([prose(1, 30), None, "", "A b, b b!! 12", "é" * 10])
     rng = np.random.default_rng(0)
@@ -259,7 +341,7 @@ def test_written_archives_lose_only_the_damaged_record(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://a/{i}", "".join(r.choices("abcdefgh ", k=3000))) for i in range(20)], "page_id long, url string, html string")
     warc.write_warc(pages.coalesce(1), str(tmp_path / "w"))
     seen, most = [], 0
-    for f in (tmp_path / "w").glob("part-*"):
+    for f in (tmp_path / "w").glob("archive=*/part-*"):
         data = f.read_bytes()
         found, gaps = warc.salvage(data)
         assert not gaps and gzip.decompress(data).count(b"WARC/1.1\r\n") == len(found)
@@ -277,10 +359,51 @@ def test_written_archive_of_a_very_long_record(spark, tmp_path):
     warc.write_warc(pages, str(tmp_path / "w"))
     rows = {r.page_id: r for r in warc.read_warc(spark, str(tmp_path / "w"), False).withColumn("page_id", warc.page_id("record_id")).collect()}
     assert {k: (r.payload_bytes, r.quarantine) for k, r in rows.items()} == {1: (17_000_000, None), 2: (0, None)}
-    for f in (tmp_path / "w").glob("part-*"):
+    for f in (tmp_path / "w").glob("archive=*/part-*"):
         assert gzip.decompress(f.read_bytes()).endswith(b"\r\n\r\n")
 
 
+def test_one_long_page_does_not_make_an_archive_of_each_page(spark, tmp_path):
+    r = random.Random(9)
+    rows = [(i, f"http://a/{i}", "".join(r.choices("abcdefgh ", k=2000))) for i in range(300)] + [(1000, "http://a/", "".join(r.choices("abcdefghij", k=200_000)))]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    files = list((tmp_path / "w").glob("archive=*/part-*"))
+    assert len(files) <= 8
+    assert warc.read_warc(spark, str(tmp_path / "w"), False).count() == 301
+
+
+def test_archives_end_by_bytes(monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 5_000)
+    warc._filled.clear()
+    r = random.Random(3)
+    numbers = [(n, len(data)) for n, data in (warc._filed("".join(r.choices("abcdefgh", k=1000))) for _ in range(100))]
+    by = {}
+    for n, size in numbers:
+        by[n] = by.get(n, 0) + size + 1
+    assert sorted(by) == list(range(len(by))) and len(by) > 5 and max(by.values()) < 6_000
+    warc._filled.clear()
+
+
+def test_a_damaged_round_trip_is_an_error(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "http://a/", f"page {i}") for i in range(5)], "page_id long, url string, html string")
+    write = warc.write_warc
+
+    def damaged(pages, path, *more):
+        write(pages, path, *more)
+        from pathlib import Path
+
+        file = max(Path(path).glob("archive=*/part-*"), key=lambda f: f.stat().st_size)
+        data = bytearray(file.read_bytes())
+        data[len(data) // 3] ^= 255
+        file.write_bytes(bytes(data))
+        for crc in file.parent.glob(".*.crc"):
+            crc.unlink()
+
+    monkeypatch.setattr(warc, "write_warc", damaged)
+    with pytest.raises(Exception, match="gap in"):
+        warc.round_trip(pages.coalesce(1)).select("payload_bytes").collect()
+
+
 @pytest.mark.parametrize("least", [0, 5])
 def test_warc_round_trip(spark, least):
     html = {1: "<p>é</p>", 2: "same text", 3: "same text", 4: None, 5: "", 6: "abc", 7: "abc", 8: "WARC/1.1\r\n\r\n" * 3, 9: "x" * 100_000}
