@@ -252,11 +252,11 @@ def prefix_keys(n: int, token: np.ndarray, df: np.ndarray, percent: int, frequen
 
 
 def _profiles(percent: int, frequent: tuple[int, ...]):
-    """Per document its keys, how many tokens it can share, and a bit map of these; from (doc_id, n, tokens that other sets have, too)."""
+    """Per document its keys, a bit map of the tokens it can share, and by how much these outnumber the bits; from (doc_id, n, tokens that other sets have, too)."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "n", "most", "bits", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "n", "rest", "bits", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
@@ -268,7 +268,7 @@ def _profiles(percent: int, frequent: tuple[int, ...]):
                 bits = np.zeros(64 * _LONGS, np.uint8)
                 bits[(mix(token) % U(64 * _LONGS)).astype(np.int64)] = 1
                 keys = prefix_keys(n, token, df, percent, frequent)
-                rows.append((doc, n, len(token), np.packbits(bits).view(np.int64), keys.view(np.int64)))
+                rows.append((doc, n, len(token) - int(bits.sum()), np.packbits(bits).view(np.int64), keys.view(np.int64)))
                 held += len(keys)
                 if held > 500_000:
                     yield batch_of(rows)
@@ -327,9 +327,10 @@ def _sets(lean: DataFrame, k: int) -> DataFrame:
 
 
 def _index(sets: DataFrame, percent: int, frequent: tuple[int, ...]) -> DataFrame:
-    """(key, doc_id, n, most, bits, weight), staged: documents by index key, without keys that one document has alone.
+    """(key, doc_id, n, rest, bits, weight), staged: documents by index key, without keys that one document has alone.
 
-    ``most`` tokens of a set can be shared, ``bits`` maps them; ``weight`` is the sum of the sizes of a document's keys.
+    ``bits`` maps the tokens of a set that can be shared, ``rest`` says how many fell on a bit that was set; ``weight`` is the sum of the
+    sizes of a document's keys.
     """
     spread = sets.select("doc_id", F.explode("tokens").alias("token"))
     common = spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -337,14 +338,14 @@ def _index(sets: DataFrame, percent: int, frequent: tuple[int, ...]) -> DataFram
     profiles = stage(
         listed.join(sets.select("doc_id", F.size("tokens").cast("long").alias("n")), "doc_id")
         .select("doc_id", "n", "listed")
-        .mapInArrow(_profiles(percent, frequent), "doc_id long, n long, most long, bits array<long>, keys array<long>"),
+        .mapInArrow(_profiles(percent, frequent), "doc_id long, n long, rest long, bits array<long>, keys array<long>"),
         "profiles",
     )
     rows = profiles.select("doc_id", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     rows = stage(rows.join(shared, "key"), "shared-keys")
     weight = rows.groupBy("doc_id").agg(F.sum("c").alias("weight"))
-    index = stage(rows.select("doc_id", "key").join(profiles.select("doc_id", "n", "most", "bits").join(weight, "doc_id"), "doc_id"), "index")
+    index = stage(rows.select("doc_id", "key").join(profiles.select("doc_id", "n", "rest", "bits").join(weight, "doc_id"), "doc_id"), "index")
     unstage(rows)
     unstage(profiles)
     return index
@@ -397,18 +398,18 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _may_link(percent: int, x: str, y: str):
     """False only where the bit maps prove that two sets do not link.
 
-    A set shares none of its lone tokens, nor those whose bit the other set's map lacks.
+    A set shares none of its lone tokens, and of the others no more than the bits that both maps have, and as many as fell on bits
+    that were set. One short sum, so that the join's loop stays small enough for the JVM to compile.
     """
-    lacks = lambda u, v: sum((F.bit_count(F.col(f"{u}.bits")[i].bitwiseAND(F.bitwise_not(F.col(f"{v}.bits")[i]))) for i in range(_LONGS)), F.lit(0))
-    needed = F.lit(percent) * (F.col(f"{x}.n") + F.col(f"{y}.n"))  # common tokens that a link takes, times 100 + percent
-    few = F.lit(100 + percent) * F.least(f"{x}.most", f"{y}.most") >= needed
-    return few & (F.lit(100 + percent) * (F.col(f"{x}.most") - lacks(x, y)) >= needed) & (F.lit(100 + percent) * (F.col(f"{y}.most") - lacks(y, x)) >= needed)
+    both = sum((F.bit_count(F.get(f"{x}.bits", F.lit(i)).bitwiseAND(F.get(f"{y}.bits", F.lit(i)))) for i in range(_LONGS)), F.lit(0))
+    most = both + F.least(f"{x}.rest", f"{y}.rest")
+    return F.lit(100 + percent) * most >= F.lit(percent) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
 def _resolve(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of all documents that link: first with the pivots of keys, then all pairs under keys that still hold several components."""
     # the document that shares most with others is the pivot of its keys: it links most of them at once
-    pivots = index.groupBy("key").agg(F.max_by(F.struct("doc_id", "n", "most", "bits"), F.struct("weight", -F.col("doc_id"))).alias("row")).select("key", "row.*")
+    pivots = index.groupBy("key").agg(F.max_by(F.struct("doc_id", "n", "rest", "bits"), F.struct("weight", -F.col("doc_id"))).alias("row")).select("key", "row.*")
     x, y = index.alias("x"), pivots.alias("y")
     pairs = (
         x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") != F.col("y.doc_id")) & _may_link(percent, "x", "y"))
