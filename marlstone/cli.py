@@ -9,15 +9,16 @@ from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .config import EngineConfig
 from .engine import Engine
-from .operators import dedup, routing
+from .functions.formats import table, text_bytes, text_usd
+from .operators import routing
 from .operators.cost import CostModel
-from .operators.units import tiles_from_paths
 from .session import spark_session
-from .sources.manifests import file_contents, read_eval_set, read_manifest, read_texts, scan_images
+from .sources.manifests import file_contents, read_eval_set, read_examples, read_manifest, read_texts, scan_images
 from .tools import call_tool
 
 
@@ -51,15 +52,31 @@ def _add_text(args, e):
 
 
 def _ingest_batch(args, e):
-    stats = e.add_documents(read_manifest(e.spark, args.manifest), args.replace)
-    _print(stats | {"version": e.save()})
+    rows = read_manifest(e.spark, args.manifest)
+    rows = rows.repartition(args.workers) if args.workers > 1 else rows
+    _print(e.add_documents(rows, args.replace) | {"version": e.save()})
 
 
-def _ingest_rendered(kind: str) -> Callable:
-    def run(args, e):
-        raise SystemExit(f"{kind}: give sources.manifests.render_pages a renderer for this cluster; no browser or PDF library is part of the engine")
+def _with_selection(args, e: Engine) -> Engine:
+    if args.vision_selection:
+        e.config = e.config.with_settings(pixel_selection=args.vision_selection)
+    return e
 
-    return run
+
+def _ingest_url(args, e):
+    _print(_with_selection(args, e).ingest_url(args.id, args.url) | {"version": e.save()})
+
+
+def _ingest_pdf(args, e):
+    _print(_with_selection(args, e).ingest_pdf(args.id, args.pdf, not args.no_text, not args.no_vision) | {"version": e.save()})
+
+
+def _show_cost(rows: DataFrame) -> None:
+    own = [r.asDict() for r in rows.collect()]
+    if own and "total_bytes" in own[0]:
+        print(table([(f"{r['pages']:,}", r["mode"], text_bytes(r["bytes_per_page"]), text_bytes(r["total_bytes"]), text_usd(r["storage_usd_month"])) for r in own], ("pages", "mode", "a page", "total", "storage a month")))
+    else:
+        print(table([(r["mode"], text_bytes(r["vector_bytes"]), text_bytes(r["artifact_bytes"]), text_usd(r["storage_usd_month"]), text_usd(r["index_usd"]), text_usd(r["query_usd"])) for r in own], ("mode", "vectors", "artifacts", "storage a month", "indexing", "a query")))
 
 
 def _eval(args, e):
@@ -67,12 +84,15 @@ def _eval(args, e):
     rows = docs.select("doc_id", "text", "title", "page", F.when(F.col("image_path").isNotNull(), F.array("image_path")).otherwise(F.array().cast("array<string>")).alias("image_paths"))
     full = rows.selectExpr("doc_id", "text", "CAST(NULL AS string) html", "coalesce(title, '') title", "coalesce(page, 0) page", "image_paths", "false apply_selection", "CAST(map() AS map<string,string>) meta", "monotonically_increasing_id() seq")
     e.add_documents(full)
-    modes = tuple(args.modes.split(","))
-    found = e.evaluate(queries, qrels, tuple(int(k) for k in args.k.split(",")), modes)
-    found.orderBy("mode", "k").show(100, truncate=False)
+    found = e.evaluate_timed(queries, qrels, tuple(int(k) for k in args.k.split(",")), tuple(args.modes.split(",")))
+    if args.json:
+        _print(found)
+    else:
+        head = ("mode", "k", "recall", "precision", "ndcg", "hit", "mrr", "ms/query", "note")
+        print(table([(r["mode"], r["k"], *(f"{r[n]:.3f}" for n in ("recall", "precision", "ndcg", "hit", "mrr")), f"{r['ms_per_query']:.2f}", r["note"]) for r in found], head))
     if args.cost:
-        e.cost().show(truncate=False)
-        e.cost(args.project_pages).show(truncate=False)
+        _show_cost(e.cost())
+        _show_cost(e.cost(args.project_pages))
 
 
 def _cost(args, e):
@@ -80,9 +100,12 @@ def _cost(args, e):
     if args.cost_model:
         with open(args.cost_model, encoding="utf-8") as f:
             model = CostModel.from_dict(json.load(f))
-    e.cost(model=model).show(truncate=False)
-    if args.project_pages:
-        e.cost(args.project_pages, model).show(truncate=False)
+    parts = [e.cost(model=model)] + ([e.cost(args.project_pages, model)] if args.project_pages else [])
+    if args.json:
+        _print([[r.asDict() for r in p.collect()] for p in parts])
+    else:
+        for p in parts:
+            _show_cost(p)
 
 
 def _dedup(args, e):
@@ -93,15 +116,17 @@ def _dedup(args, e):
     else:
         print("dedup needs --dir or --images", file=sys.stderr)
         raise SystemExit(2)
-    tiles = tiles_from_paths(files).join(files, "image_path").withColumn("content_key", dedup.exact_key(F.col("content"), F.col("image_path"), F.col("unit_id")))
-    _print(dedup.dedup_stats(tiles, scope=args.scope).first().asDict())
+    _print(e.dedup_stats(files.withColumn("seq", F.monotonically_increasing_id()), args.scope, args.method, args.tile_bytes))
 
 
 def _train_router(args, e):
-    rows = e.spark.read.schema("query string, label double, vision_label double").json(args.examples)
-    weights = routing.fit_router(rows.select("query", F.coalesce("label", "vision_label").alias("label")))
+    if args.examples:
+        rows = read_examples(e.spark, args.examples)
+    else:
+        rows = e.spark.createDataFrame(routing.SEED, "query string, label double")
+    weights = routing.fit_router(rows, args.iterations, args.lr)
     routing.save_router(weights, args.out)
-    _print({"weights": weights})
+    _print({"examples": rows.count(), "weights": weights})
 
 
 def _serve(args, e):
@@ -145,7 +170,7 @@ def _serve(args, e):
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="marlstone")
-    top.add_argument("--storage", default=EngineConfig().storage_dir)
+    top.add_argument("--storage", default=EngineConfig().storage.folder)
     top.add_argument("--config")
     sub = top.add_subparsers(dest="command", required=True)
 
@@ -163,14 +188,20 @@ def parser() -> argparse.ArgumentParser:
     p = command("delete", lambda a, e: _print(e.delete([a.doc_id]) | {"version": e.save()}))
     p.add_argument("doc_id")
     command("list-docs", lambda a, e: _print(e.doc_ids()))
-    p = command("ingest-url", _ingest_rendered("ingest-url"))
+    p = command("ingest-url", _ingest_url)
     p.add_argument("url")
-    p = command("ingest-pdf", _ingest_rendered("ingest-pdf"))
-    p.add_argument("path")
+    p.add_argument("--id", required=True)
+    p.add_argument("--vision-selection", choices=("auto", "always", "never"))
+    p = command("ingest-pdf", _ingest_pdf)
+    p.add_argument("pdf")
+    p.add_argument("--id", required=True)
+    p.add_argument("--vision-selection", choices=("auto", "always", "never"))
     p.add_argument("--no-text", action="store_true")
     p.add_argument("--no-vision", action="store_true")
     p = command("ingest-batch", _ingest_batch)
     p.add_argument("manifest")
+    p.add_argument("--batch-size", type=int, default=128, help="has no effect: Spark's tasks are the batches")
+    p.add_argument("--workers", type=int, default=1, help="number of tasks that prepare documents")
     p.add_argument("--replace", action="store_true")
     p = command("richness", lambda a, e: _print(e.richness(a.text, a.html)))
     p.add_argument("--text")
@@ -182,21 +213,28 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("dataset")
     p.add_argument("-k", default="1,3,5,10")
     p.add_argument("--modes", default="text,vision,hybrid")
+    p.add_argument("--json", action="store_true")
     p.add_argument("--cost", action="store_true")
     p.add_argument("--project-pages", type=int, default=10_000_000)
     p = command("cost", _cost)
     p.add_argument("--cost-model")
+    p.add_argument("--json", action="store_true")
     p.add_argument("--project-pages", type=int)
     p = command("dedup", _dedup)
     p.add_argument("--dir")
     p.add_argument("--images", nargs="*")
+    p.add_argument("--method", default="exact", choices=("exact", "ahash"))
     p.add_argument("--scope", default="doc", choices=("doc", "global"))
-    p = command("route", lambda a, e: _print(call_tool("route", {"query": a.query} | ({"model": a.model} if a.model else {}), e)))
+    p.add_argument("--tile-bytes", type=int)
+    p = command("route", lambda a, e: _print(e.route(a.query, a.model, a.weights).first().asDict()))
     p.add_argument("query")
+    p.add_argument("--weights")
     p.add_argument("--model", choices=("heuristic", "learned"))
     p = command("train-router", _train_router)
-    p.add_argument("examples")
+    p.add_argument("--examples")
     p.add_argument("--out", default="router.json")
+    p.add_argument("--iterations", type=int, default=4_000)
+    p.add_argument("--lr", type=float, default=0.5)
     p = command("serve", _serve)
     p.add_argument("--host", default="127.0.0.1")
     p.add_argument("--port", type=int, default=8000)

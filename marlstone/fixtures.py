@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-import struct
 import tempfile
 import uuid
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.images import png
+
 #: one for each branch of the routers
 ROUTE_QUERIES = (
     "which chart shows the revenue table",
@@ -54,7 +54,11 @@ def sample(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="marlstone-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -65,18 +69,6 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     stream.close()
 
 
-def png(pixels: np.ndarray) -> bytes:
-    """A PNG file of an array [height, width] or [height, width, 3] of bytes."""
-    h, w = pixels.shape[:2]
-    color = 2 if pixels.ndim == 3 else 0
-    raw = b"".join(b"\0" + row.tobytes() for row in pixels.astype(np.uint8))
-
-    def part(kind: bytes, body: bytes) -> bytes:
-        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, color, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
-
-
 def images() -> dict[str, bytes]:
     blank = np.full((120, 80), 255)
     ruled = blank.copy()

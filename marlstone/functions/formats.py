@@ -29,3 +29,11 @@ def text_usd(x: float) -> str:
     if x == 0:
         return "$0"
     return f"${x:.2e}" if x < 0.01 else f"${x:,.2f}" if x < 1000 else f"${x:,.0f}"
+
+
+def table(rows: list[tuple], head: tuple[str, ...]) -> str:
+    """Rows as lines of columns of equal width below their names and a rule."""
+    shown = [tuple(str(x) for x in r) for r in [head, *rows]]
+    width = [max(len(r[i]) for r in shown) for i in range(len(head))]
+    lines = ["  ".join(x.ljust(w) for x, w in zip(r, width)).rstrip() for r in shown]
+    return "\n".join([lines[0], "  ".join("-" * w for w in width), *lines[1:]])

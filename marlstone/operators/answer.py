@@ -26,7 +26,11 @@ PROMPT_HEAD = (
 
 
 def _text(hits: DataFrame) -> Column:
-    return F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"(?U)^\s+|\s+$", "")
+    """What can be read of a hit: its text, else what its meta data hold of one, of the recognised text, of a title."""
+    said = [F.when(F.col("text") != "", F.col("text"))]
+    if "meta" in hits.columns:
+        said += [F.when(F.col("meta")[k] != "", F.col("meta")[k]) for k in ("text", "ocr", "title")]
+    return F.regexp_replace(F.coalesce(*said, F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
 def sentence_pool(hits: DataFrame) -> DataFrame:
@@ -112,7 +116,10 @@ def llm_prompt(queries: DataFrame, hits: DataFrame, most: int = 5) -> DataFrame:
 
 
 def formatted(answers: DataFrame, cited: DataFrame) -> DataFrame:
-    """(query_id, shown): each answer with the list of its sources below."""
-    line = F.concat(F.lit("["), F.col("marker").cast("string"), F.lit("] "), F.col("doc_id").cast("string"), F.lit(" (page "), F.col("page").cast("string"), F.lit(", "), F.col("modality"), F.lit(")"))
+    """(query_id, shown): each answer with the list of its sources below, in a fixed format."""
+    where = F.concat(F.lit("doc="), F.col("doc_id").cast("string"), F.when(F.col("page") != 0, F.concat(F.lit(" p."), F.col("page").cast("string"))).otherwise(F.lit("")))
+    kind = F.when(F.coalesce("image_path", F.lit("")) != "", "image").otherwise("text")
+    line = F.concat(F.lit("  ["), F.col("marker").cast("string"), F.lit("] ("), kind, F.lit(") "), where, F.lit(" — "), F.col("snippet"))
     sources = cited.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("marker"), line.alias("l")))), lambda s: s["l"]), "\n").alias("sources"))
-    return answers.join(sources, "query_id", "left").select("query_id", F.when(F.col("sources").isNull(), F.col("answer")).otherwise(F.concat("answer", F.lit("\n\nSources:\n"), "sources")).alias("shown"))
+    said = F.coalesce(F.nullif(F.trim(F.coalesce("answer", F.lit(""))), F.lit("")), F.lit("(no answer)"))
+    return answers.join(sources, "query_id", "left").select("query_id", F.concat(said, F.when(F.col("sources").isNull(), F.lit("")).otherwise(F.concat(F.lit("\n\nSources:\n"), "sources"))).alias("shown"))

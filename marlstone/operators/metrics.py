@@ -1,4 +1,7 @@
-"""Ranking metrics: ranked (query_id, rank from 0, doc_id) against qrels (query_id, doc_id, gain), averaged over all queries."""
+"""Ranking metrics: ranked (query_id, rank from 0, doc_id) against qrels (query_id, doc_id, gain), averaged over all queries.
+
+A list may repeat a document: hits are looked for in the list as it is, all else counts a document at its first rank.
+"""
 
 from __future__ import annotations
 
@@ -20,15 +23,17 @@ def per_query(ranked: DataFrame, qrels: DataFrame, queries: DataFrame, ks: list[
     ideal_rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gain")))
     ideal = good.withColumn("i", ideal_rank)
     found = rank_dedup(ranked).join(good, ["query_id", "doc_id"]).withColumn("i", F.col("rank") + 1)
+    # the first relevant rank of the list as it is, by one more aggregate of it
+    raw = ranked.join(good.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("raw_first"))
     zero = F.lit(0.0)
     at = lambda k, e: F.sum(F.when(F.col("i") <= k, e))
     discounted = F.col("gain") / F.log2(F.col("i") + 1.0)
     f = found.groupBy("query_id").agg(F.min("i").alias("first"), *[at(k, F.lit(1)).alias(f"n{k}") for k in ks], *[at(k, discounted).alias(f"d{k}") for k in ks])
     g = ideal.groupBy("query_id").agg(F.count("*").alias("relevant"), *[at(k, discounted).alias(f"g{k}") for k in ks])
-    rows = queries.select("query_id").join(f, "query_id", "left").join(g, "query_id", "left")
+    rows = queries.select("query_id").join(f, "query_id", "left").join(g, "query_id", "left").join(raw, "query_id", "left")
     one = lambda k: F.struct(
         F.lit(k).alias("k"),
-        F.coalesce((F.col(f"n{k}") > 0).cast("double"), zero).alias("hit"),
+        F.coalesce((F.col("raw_first") < k).cast("double"), zero).alias("hit"),
         F.coalesce(F.col(f"n{k}") / F.col("relevant"), zero).alias("recall"),
         F.coalesce(F.col(f"n{k}") / F.lit(float(max(k, 1))), zero).alias("precision"),
         F.coalesce(1.0 / F.col("first"), zero).alias("rr"),

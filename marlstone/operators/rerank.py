@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,7 +43,7 @@ def bm25(queries: DataFrame, candidates: DataFrame, carry: tuple[str, ...] = ())
 
 
 def blend(scored: DataFrame, weight: float = 0.5, top_k: int | None = None) -> DataFrame:
-    """Reorder hits (query_id, pos, doc_id, score, text) by their ``rerank_raw`` blended with their score.
+    """Reorder hits (query_id, pos, doc_id, score, text[, meta]) by their ``rerank_raw`` blended with their score.
 
     Both are scaled to their range in the query, all equal to 0. A candidate without text keeps its fused standing. Adds ``c_rerank``.
     """
@@ -58,7 +58,7 @@ def blend(scored: DataFrame, weight: float = 0.5, top_k: int | None = None) -> D
         scored.withColumn("rerank_raw", F.coalesce("rerank_raw", F.lit(0.0)))
         .withColumn("__rr", scaled("rerank_raw"))
         .withColumn("__fn", scaled("score"))
-        .withColumn("__rr", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.col("__fn")).otherwise(F.col("__rr")))
+        .withColumn("__rr", F.when(F.trim(candidate_text(scored)) == "", F.col("__fn")).otherwise(F.col("__rr")))
         .withColumn("score", weight * F.col("__rr") + (1 - weight) * F.col("__fn"))
         .withColumn("c_rerank", F.round("__rr", 6))
     )
@@ -67,9 +67,18 @@ def blend(scored: DataFrame, weight: float = 0.5, top_k: int | None = None) -> D
     return rows.where(F.col("pos") < top_k) if top_k else rows
 
 
+def candidate_text(hits: DataFrame) -> Column:
+    """What a hit is scored by: its text, else the title or the recognised text that its meta data name."""
+    said = F.when(F.col("text") != "", F.col("text"))
+    if "meta" not in hits.columns:
+        return F.coalesce(said, F.lit(""))
+    return F.coalesce(said, *[F.when(F.col("meta")[k] != "", F.col("meta")[k]) for k in ("title", "ocr")], F.lit(""))
+
+
 def rerank(queries: DataFrame, fused: DataFrame, weight: float = 0.5, top_k: int | None = None) -> DataFrame:
     """BM25 rerank of fused hits that carry their text; the hits are computed once and come along through the scoring."""
-    hits = fused.withColumnRenamed("text", "__text").withColumn("cand_id", F.col("doc_id")).withColumn("text", F.col("__text"))
+    own = candidate_text(fused)
+    hits = fused.withColumn("__said", own).withColumnRenamed("text", "__text").withColumn("cand_id", F.col("doc_id")).withColumnRenamed("__said", "text")
     carry = tuple(c for c in hits.columns if c not in ("query_id", "cand_id", "text"))
     scored = bm25(queries, hits, carry).drop("cand_id").withColumnRenamed("__text", "text").withColumnRenamed("bm25", "rerank_raw")
     return blend(scored, weight, top_k)
@@ -90,5 +99,28 @@ def model_scores(queries: DataFrame, candidates: DataFrame, load) -> DataFrame:
 
 def rerank_by_model(queries: DataFrame, fused: DataFrame, load, weight: float = 0.5, top_k: int | None = None) -> DataFrame:
     """Rerank fused hits that carry their text with a model on pairs."""
-    scores = model_scores(queries, fused.select("query_id", F.col("doc_id").alias("cand_id"), "text"), load)
+    scores = model_scores(queries, fused.select("query_id", F.col("doc_id").alias("cand_id"), candidate_text(fused).alias("text")), load)
     return blend(fused.join(scores.withColumnRenamed("cand_id", "doc_id"), ["query_id", "doc_id"], "left"), weight, top_k)
+
+
+def pair_model(name: str):
+    """A loader for ``model_scores``: the cross-encoder of that name, from sentence-transformers on the executors."""
+
+    def load():
+        try:
+            from sentence_transformers import CrossEncoder
+        except ImportError as e:
+            raise ImportError(f"reranking with {name} needs sentence-transformers on the executors") from e
+        model = CrossEncoder(name)
+        return lambda questions, texts: [float(x) for x in model.predict(list(zip(questions, texts)))]
+
+    return load
+
+
+def rerank_with(model: str, queries: DataFrame, fused: DataFrame, weight: float = 0.5, top_k: int | None = None) -> DataFrame:
+    """Rerank as the setting says: by BM25 (``lexical``) or by the cross-encoder of that name; ``none`` and an empty name leave the order as it is."""
+    if model.strip() in ("", "none"):
+        return fused if top_k is None else fused.where(F.col("pos") < top_k)
+    if model.strip() == "lexical":
+        return rerank(queries, fused, weight, top_k)
+    return rerank_by_model(queries, fused, pair_model(model.strip()), weight, top_k)

@@ -44,8 +44,11 @@ MOST_EXAMPLES = 100_000
 
 
 def fit_router(examples: DataFrame, steps: int = 4_000, rate: float = 0.5, l2: float = 1e-3) -> list[float]:
-    """Logistic regression by full-batch gradient descent from zero on (query, label); soft labels, free intercept."""
-    rows = examples.select(*features(F.col("query")), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("label").cast("double"))).alias("label")).limit(MOST_EXAMPLES + 1).collect()
+    """Logistic regression by full-batch gradient descent from zero on (query, label); soft labels, free intercept. An example without a query or a label is an error."""
+    label = F.col("label").cast("double")
+    whole = F.col("query").isNotNull() & label.isNotNull()
+    checked = F.when(whole, F.greatest(F.lit(0.0), F.least(F.lit(1.0), label))).otherwise(F.raise_error(F.lit("each example needs a query and a label")).cast("double"))
+    rows = examples.select(*features(F.col("query")), checked.alias("label")).limit(MOST_EXAMPLES + 1).collect()
     if not rows or len(rows) > MOST_EXAMPLES:
         raise ValueError(f"a router needs 1 to {MOST_EXAMPLES} examples")
     data = np.array(rows, float)

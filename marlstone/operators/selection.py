@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import text_richness
+from .dedup import decoder
 
 SIGNALS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("score", "lines", "color", "midtone")])
 
@@ -36,6 +37,21 @@ def image_richness(height: pd.Series, width: pd.Series, channels: pd.Series, dat
     return pd.DataFrame(out, columns=["score", "lines", "color", "midtone"])
 
 
+@F.pandas_udf(T.DoubleType())
+def image_score_of_file(content: pd.Series) -> pd.Series:
+    """The score of the bytes of an image file; null for what cannot be decoded."""
+    decode = decoder()
+
+    def one(data):
+        x = None if data is None else decode(bytes(data))
+        if x is None:
+            return None
+        x = x / 255.0
+        return image_signals(x if x.ndim == 2 else x[:, :, :3].mean(2), None if x.ndim == 2 else x[:, :, :3])[0]
+
+    return content.map(one).astype(float)
+
+
 def decide(
     pages: DataFrame, mode: str = "auto", threshold: float = 0.35, text_weight: float = 0.7,
     text: Column | None = None, html: Column | None = None, image_score: Column | None = None,

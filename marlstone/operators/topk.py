@@ -51,7 +51,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _block_topk(spark, ids, matrix, units: DataFrame, k: int, id_type) -> DataFrame:
     sent = spark.sparkContext.broadcast((ids, _unit(matrix)))
-    lean = units.select("unit_id", "doc_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    lean = units.select("unit_id", "doc_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
     kinds = {f.name: f.dataType.simpleString() for f in lean.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..fixtures import png
+from ..functions.images import png
 from ..functions.text import clean_text
 
 #: fixed values: elements whose content is not text, and elements that begin a line

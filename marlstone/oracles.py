@@ -194,7 +194,7 @@ cand AS (SELECT query_id, k AS pos, d.doc_id, CASE WHEN d.doc_id % 11 = 5 THEN '
   FROM q, range(30) r(k), documents d WHERE d.doc_id = (query_id * 31 + k * 17) % (SELECT count(*) FROM documents))"""
 _POOL = f"""{_CANDIDATES},
 ahits AS (SELECT query_id, pos AS rank, doc_id::VARCHAR AS doc_id, 'u' || doc_id AS unit_id, CASE WHEN text = '' THEN 'vision' ELSE 'text' END AS modality,
-  text, CASE WHEN text = '' THEN '/tiles/' || doc_id END AS image_path FROM cand WHERE pos < 5),
+  CASE WHEN text = '' AND doc_id % 2 = 0 THEN 'A title tells what document ' || doc_id || ' shows.' ELSE text END AS text, CASE WHEN text = '' THEN '/tiles/' || doc_id END AS image_path FROM (SELECT query_id, pos, doc_id, text FROM cand) WHERE pos < 5),
 sents AS (SELECT *, {_sentences("text")} AS parts FROM ahits),
 spread AS (SELECT query_id, rank, doc_id, unit_id, modality, image_path, len(parts) AS n, unnest(parts) AS sent, unnest(range(len(parts))) AS place_ FROM sents),
 pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, place_) - 1 AS idx FROM spread WHERE length(sent) >= 20 OR n = 1)"""
@@ -229,10 +229,10 @@ def _html_text(x: str) -> str:
 
 
 _JUDGED = f"""{_VISION},
-e AS (SELECT vec_id, label FROM embeddings),
-ranked AS (SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, b.unit_id, list_dot_product(a.v, b.v) AS score,
+e AS (SELECT vec_id, vec_id // 5 % 29 AS doc_id, label FROM embeddings),
+ranked AS (SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id // 5 % 29 AS doc_id, b.unit_id, list_dot_product(a.v, b.v) AS score,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.v, b.v), 9) DESC, b.unit_id) - 1 AS rank FROM vision a, vision b WHERE a.vec_id % 20 = 0) WHERE rank < 10),
-qr AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, b.vec_id % 3 + 0.0 AS gain FROM e a JOIN e b USING (label) WHERE a.vec_id % 20 = 0),
+qr AS (SELECT DISTINCT a.vec_id AS query_id, b.doc_id, b.doc_id % 3 + 0.0 AS gain FROM e a JOIN e b USING (label) WHERE a.vec_id % 20 = 0 AND b.vec_id % 4 = 1),
 good AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS i FROM qr WHERE gain > 0)"""
 
 
@@ -242,13 +242,14 @@ def _measured(ranked: str, extra: str = "") -> str:
     using = f"({lead}query_id)"
     every = f"(SELECT DISTINCT {extra} FROM {ranked}) m, (SELECT vec_id AS query_id FROM e WHERE vec_id % 20 = 0) q" if extra else "(SELECT vec_id AS query_id FROM e WHERE vec_id % 20 = 0) q"
     return f"""
-closed AS (SELECT *, row_number() OVER (PARTITION BY {lead}query_id ORDER BY rank) AS i FROM {ranked}),
+closed AS (SELECT *, row_number() OVER (PARTITION BY {lead}query_id ORDER BY rank) AS i FROM (SELECT {lead}query_id, doc_id, min(rank) AS rank FROM {ranked} GROUP BY ALL)),
+raw AS (SELECT {lead}query_id, min(rank) AS raw_first FROM {ranked} JOIN (SELECT query_id, doc_id FROM good) USING (query_id, doc_id) GROUP BY ALL),
 found AS (SELECT c.*, g.gain FROM closed c JOIN (SELECT query_id, doc_id, gain FROM good) g USING (query_id, doc_id)),
 f AS (SELECT {lead}query_id, k, count(*) FILTER (i <= k) AS n, coalesce(sum(gain / log2(i + 1)) FILTER (i <= k), 0) AS d, min(i) AS first FROM found, (VALUES (1), (5), (10)) ks(k) GROUP BY ALL),
 g AS (SELECT query_id, k, count(*) AS relevant, sum(gain / log2(i + 1)) FILTER (i <= k) AS ideal FROM good, (VALUES (1), (5), (10)) ks(k) GROUP BY ALL),
 every AS (SELECT {lead}query_id, k FROM {every}, (VALUES (1), (5), (10)) ks(k)),
-measured AS (SELECT {lead}query_id, k, coalesce((n > 0)::INT, 0)::DOUBLE AS hit, coalesce(n::DOUBLE / relevant, 0) AS recall, coalesce(n::DOUBLE / k, 0) AS precision,
-  coalesce(1.0 / first, 0)::DOUBLE AS rr, coalesce(d / ideal, 0) AS ndcg FROM every LEFT JOIN f USING ({lead}query_id, k) LEFT JOIN g USING (query_id, k))"""
+measured AS (SELECT {lead}query_id, k, coalesce((raw_first < k)::INT, 0)::DOUBLE AS hit, coalesce(n::DOUBLE / relevant, 0) AS recall, coalesce(n::DOUBLE / k, 0) AS precision,
+  coalesce(1.0 / first, 0)::DOUBLE AS rr, coalesce(d / ideal, 0) AS ndcg FROM every LEFT JOIN raw USING ({lead}query_id) LEFT JOIN f USING ({lead}query_id, k) LEFT JOIN g USING (query_id, k))"""
 
 
 def _tiles(scope: bool) -> str:
@@ -305,7 +306,7 @@ SELECT vec_id, i, {_r('CASE WHEN n > 0 THEN v[(i + 1)::INT] / n ELSE v[(i + 1)::
         "search_text_only": f"WITH RECURSIVE {_ranked(30, 'text')}, weights AS (SELECT item_id AS query_id, 1.0::DOUBLE AS text_weight, 0.0::DOUBLE AS vision_weight FROM benchmark), {_fused('rrf', 10)} {_SHOWN}",
         "hybrid_search_rrf": f"{_hybrid('rrf', 10)} {_SHOWN}",
         "hybrid_search_calibrated": f"{_hybrid('softmax', 10)} {_SHOWN}",
-        "hybrid_search_rerank": f"""{_hybrid('rrf', 30)}, full_ AS (SELECT p.*, CASE WHEN p.modality = 'text' THEN c.text END AS text FROM placed p LEFT JOIN (SELECT DISTINCT unit_id, text FROM chunks) c USING (unit_id)),
+        "hybrid_search_rerank": f"""{_hybrid('rrf', 30)}, full_ AS (SELECT p.*, CASE WHEN p.modality = 'text' THEN c.text WHEN substr(p.unit_id, 2)::INT % 7 = 0 THEN 'the figure of document ' || p.doc_id END AS text FROM placed p LEFT JOIN (SELECT DISTINCT unit_id, text FROM chunks) c USING (unit_id)),
 ftext AS (SELECT query_id, doc_id, coalesce(text, '') AS text FROM full_), {_bm25('fs', 'asked', 'ftext', 'doc_id')}, {_blend('full_', 'fs', 10)}
 SELECT query_id, pos, doc_id, modality, unit_id, {_r('score')} AS score, {_r('c_text')} AS c_text, {_r('c_vision')} AS c_vision, {_r('round(rr2, 6)')} AS c_rerank FROM blended""",
         "result_rows": f"""{_hybrid('rrf', 3)} SELECT query_id, pos, '{{"doc_id":' || doc_id || ',"modality":"' || modality || '","unit_id":"' || unit_id || '","page":' ||
@@ -364,7 +365,7 @@ tiles AS (SELECT doc_id, unnest(['/a.png', '/' || doc_id || '.png']) AS image_pa
     out["ingest_batch"] = f"""{pieces} SELECT doc_id, image_path, duplicate_count FROM (SELECT arg_min(doc_id, page_id) AS doc_id, image_path, count(*) AS duplicate_count FROM tiles GROUP BY image_path)
 UNION ALL SELECT doc_id, 'text', count(*) FROM chunks GROUP BY doc_id"""
     out["ingest_stats"] = f"""{pieces} SELECT (SELECT count(*) FROM m) AS documents, (SELECT count(*) FROM m WHERE own IS NOT NULL) AS text_docs, (SELECT count(*) FROM m WHERE own IS NULL) AS html_docs,
-  (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM tiles) AS tiles, (SELECT count(DISTINCT doc_id) FROM tiles) AS docs_with_pixels"""
+  (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM tiles) AS tiles, (SELECT count(DISTINCT doc_id) FROM tiles) AS docs_with_pixels, (SELECT count(*) FROM m) - (SELECT count(DISTINCT doc_id) FROM tiles) AS vision_skipped"""
     out |= {f"fuse_{n}": f"WITH {_RANKED_TIES}, {_fused(n, 10)} {_SHOWN}" for n in _PARTS}
     out |= {f"eval_{n}": f"WITH {_JUDGED}, {_measured('ranked')} SELECT query_id, k::BIGINT AS k, {_r(c)} AS {c} FROM measured" for n, c in (("hit", "hit"), ("recall", "recall"), ("precision", "precision"), ("mrr", "rr"), ("ndcg", "ndcg"))}
     return out

@@ -92,7 +92,7 @@ def pixel_decision(spark, sf):
 
 
 def _chunks(spark, sf):
-    return units.chunk_text(_table(spark, sf, "documents").select("doc_id", "text"), CONFIG.chunk_size, CONFIG.chunk_overlap)
+    return units.chunk_text(_table(spark, sf, "documents").select("doc_id", "text"), CONFIG.chunks.size, CONFIG.chunks.overlap)
 
 
 def chunk_text(spark, sf):
@@ -167,15 +167,32 @@ def _questions(spark, sf):
     return _table(spark, sf, "benchmark").select("item_id", F.col("text").alias("query")).join(image, "item_id").withColumnRenamed("item_id", "query_id")
 
 
-def _text_units(spark, sf):
-    return _chunks(spark, sf).withColumn("embedding", embedding.hash_embed(F.col("text"), CONFIG.text_dim)).withColumn("page", F.lit(0))
+#: indexes that this process has built, by session and folder: path
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, sf):
+    """(text units, vision units) read from an index, which the first query of a session builds from the whole tables and saves; document ids are numbers again."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _BUILT:
+        path = fixtures.scratch(spark, "search-index")
+        none = lambda kind: F.lit(None).cast(kind)
+        chunks = _chunks(spark, sf).select("*", F.lit(0).alias("page"), F.lit("").alias("title"), F.create_map().cast("map<string,string>").alias("meta"), F.col("doc_id").alias("seq"))
+        tiles = _vision_units(spark, sf).select(
+            "unit_id", F.col("doc_id").cast("string").alias("doc_id"), "image_path", "page", none("int").alias("row"), none("int").alias("col"), none("array<int>").alias("bbox"), "meta",
+            none(ingest.OCCURRENCES).alias("occurrences"), F.lit(1).cast("long").alias("duplicate_count"), none("long").alias("seq"), F.col("embedding").cast("array<double>").alias("embedding"),
+        )
+        store.VersionedIndex(spark, path).write(ingest.text_units(chunks, CONFIG), tiles, CONFIG)
+        _BUILT[key] = path
+    return tuple(t.withColumn("doc_id", F.col("doc_id").cast("long")) for t in store.VersionedIndex(spark, _BUILT[key]).read())
 
 
 def _vision_units(spark, sf):
     n = _table(spark, sf, "documents").count()
     doc = F.col("vec_id") % n
     return _table(spark, sf, "embeddings").select(
-        F.format_string("v%06d", "vec_id").alias("unit_id"), doc.alias("doc_id"), "embedding", F.format_string("/tiles/%d.png", "vec_id").alias("image_path"), (F.col("vec_id") % 3).cast("int").alias("page")
+        F.format_string("v%06d", "vec_id").alias("unit_id"), doc.alias("doc_id"), "embedding", F.format_string("/tiles/%d.png", "vec_id").alias("image_path"), (F.col("vec_id") % 3).cast("int").alias("page"),
+        F.when(F.col("vec_id") % 7 == 0, F.create_map(F.lit("title"), F.format_string("the figure of document %d", doc))).otherwise(F.create_map().cast("map<string,string>")).alias("meta"),
     )
 
 
@@ -190,9 +207,9 @@ def vector_topk(spark, sf):
 
 def _hits(spark, sf, **how):
     """Hits as numbers, components that are absent as 0."""
-    config = CONFIG.with_overrides(**{k: v for k, v in how.items() if hasattr(CONFIG, k)})
-    rest = {k: v for k, v in how.items() if not hasattr(CONFIG, k)}
-    return search.search(_questions(spark, sf), _text_units(spark, sf), _vision_units(spark, sf), config, **rest)
+    own = ("fusion_method", "fusion_norm")
+    config = CONFIG.with_settings(**{k: v for k, v in how.items() if k in own})
+    return search.search(_questions(spark, sf), *_index(spark, sf), config, **{k: v for k, v in how.items() if k not in own})
 
 
 def _shown(hits):
@@ -315,6 +332,7 @@ def _answer_hits(spark, sf):
         "query_id", F.col("pos").alias("rank"), F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("u"), F.col("doc_id")).alias("unit_id"),
         F.when(F.col("text") == "", "vision").otherwise("text").alias("modality"), F.lit(0).alias("page"), "text",
         F.when(F.col("text") == "", F.concat(F.lit("/tiles/"), F.col("doc_id"))).alias("image_path"),
+        F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("title"), F.concat(F.lit("A title tells what document "), F.col("doc_id"), F.lit(" shows.")))).alias("meta"),
     )
     return q, hits
 
@@ -372,7 +390,7 @@ def index_stats(spark, sf):
 
 def index_footprint(spark, sf):
     s = cost.index_stats(_chunks(spark, sf), _vision_units(spark, sf))
-    return s.select((F.col("text_units") * CONFIG.text_dim * 4).alias("text_bytes"), (F.col("vision_units") * CONFIG.vision_dim * 4).alias("vision_bytes"))
+    return s.select((F.col("text_units") * CONFIG.text.dim * 4).alias("text_bytes"), (F.col("vision_units") * CONFIG.vision.dim * 4).alias("vision_bytes"))
 
 
 def doc_ids(spark, sf):
@@ -412,7 +430,7 @@ def ingest_prepare(spark, sf):
 def ingest_batch(spark, sf):
     m = _manifest(spark, sf)
     chunks, tiles = ingest.prepare(m, CONFIG)
-    t, v = ingest.text_units(chunks, CONFIG), ingest.vision_units(tiles, None, CONFIG.with_overrides(tile_dedup="global"))
+    t, v = ingest.text_units(chunks, CONFIG), ingest.vision_units(tiles, None, CONFIG.with_settings(tile_dedup="global"))
     return v.select("doc_id", "image_path", "duplicate_count").unionByName(t.groupBy("doc_id").agg(F.count("*").alias("duplicate_count")).withColumn("image_path", F.lit("text")))
 
 
@@ -426,9 +444,12 @@ def ingest_stats(spark, sf):
 
 def _judged(spark, sf):
     e = _table(spark, sf, "embeddings")
-    ranked = topk.vector_topk(_topk_queries(spark, sf), _vision_units(spark, sf).withColumn("doc_id", F.substring("unit_id", 2, 6).cast("long")), 10)
+    # lists repeat documents: ten units of at most a fifth as many
+    doc = lambda c: F.floor(c / 5) % 29
+    ranked = topk.vector_topk(_topk_queries(spark, sf), _vision_units(spark, sf).withColumn("doc_id", doc(F.substring("unit_id", 2, 6).cast("long"))), 10)
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    qrels = q.join(e.select(F.col("vec_id").alias("doc_id"), "label"), "label").select("query_id", "doc_id", (F.col("doc_id") % 3 + 0.0).alias("gain"))
+    judged = e.where("vec_id % 4 = 1").select(doc(F.col("vec_id")).alias("doc_id"), "label").distinct()
+    qrels = q.join(judged, "label").select("query_id", "doc_id", (F.col("doc_id") % 3 + 0.0).alias("gain"))
     return ranked, qrels, q.select("query_id")
 
 
@@ -450,7 +471,7 @@ def eval_report(spark, sf):
 def eval_sample(spark, sf):
     """The engine's own small evaluation set under all modes: nothing visual is indexed."""
     docs, queries, qrels = fixtures.sample(spark)
-    t = units.chunk_text(docs).withColumn("embedding", embedding.hash_embed(F.col("text"), CONFIG.text_dim)).withColumn("page", F.lit(0))
+    t = units.chunk_text(docs).withColumn("embedding", embedding.hash_embed(F.col("text"), CONFIG.text.dim)).withColumn("page", F.lit(0))
     return evaluate(queries, qrels, t, spark.createDataFrame([], store.VISION_UNITS), (1, 3, 5, 10), config=CONFIG)
 
 

@@ -1,8 +1,9 @@
-"""The index: two Parquet tables in versions that never change, and a pointer to the current one."""
+"""The index: two Parquet tables in versions that never change, and a pointer to each."""
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +18,10 @@ VISION_UNITS = (
 
 
 class VersionedIndex:
-    """``path``/v=N/{text_units,vision_units}; ``path``/CURRENT names N and holds the settings.
+    """``path``/v=N-.../{text_units,vision_units}, and ``path``/CURRENT.N, which names the folder of version N and holds its settings.
 
-    A new version is written whole before the pointer moves, so readers see the old or the new one. The last two
-    versions are kept.
+    A pointer is written under another name and renamed when its tables are whole, and no pointer is ever changed, so a reader sees the largest
+    version that is whole, and of two writers of one version the second fails. The last two versions are kept.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -28,42 +29,49 @@ class VersionedIndex:
         self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _exists(self, path: str) -> bool:
-        return self._fs.exists(self._fs_path(path))
+    def _versions(self) -> list[int]:
+        if not self._fs.exists(self._fs_path(self.path)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._fs_path(self.path))]
+        return sorted(int(n[8:]) for n in names if n.startswith("CURRENT.") and n[8:].isdigit())
 
-    def _pointer(self) -> dict:
-        if not self._exists(f"{self.path}/CURRENT"):
-            return {"version": 0, "config": {}}
-        rows = self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).collect()
-        return json.loads(rows[0][0])
+    def _pointer(self, version: int | None = None) -> dict:
+        if version is None:
+            version = max(self._versions(), default=0)
+        if not version:
+            return {"version": 0, "folder": "", "config": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/CURRENT.{version}", wholetext=True).first()[0])
 
     @property
     def version(self) -> int:
-        return self._pointer()["version"]
+        return max(self._versions(), default=0)
 
     def config(self) -> EngineConfig:
         return EngineConfig.from_dict(self._pointer()["config"])
 
     def read(self) -> tuple[DataFrame, DataFrame]:
-        """(text units, vision units); an absent table is empty."""
-        out = []
-        for name, schema in (("text_units", TEXT_UNITS), ("vision_units", VISION_UNITS)):
-            place = f"{self.path}/v={self.version}/{name}"
-            out.append(self.spark.read.schema(schema).parquet(place) if self._exists(place) else self.spark.createDataFrame([], schema))
-        return out[0], out[1]
+        """(text units, vision units) of one version; both are empty where there is none."""
+        folder = self._pointer()["folder"]
+        tables = (("text_units", TEXT_UNITS), ("vision_units", VISION_UNITS))
+        return tuple(self.spark.read.schema(s).parquet(f"{self.path}/{folder}/{n}") if folder else self.spark.createDataFrame([], s) for n, s in tables)
 
     def write(self, text_units: DataFrame, vision_units: DataFrame, config: EngineConfig) -> int:
         new = self.version + 1
-        text_units.write.mode("overwrite").parquet(f"{self.path}/v={new}/text_units")
-        vision_units.write.mode("overwrite").parquet(f"{self.path}/v={new}/vision_units")
-        text = json.dumps({"version": new, "config": config.to_dict()})
-        temporary = f"{self.path}/CURRENT.{new}"
-        stream = self._fs.create(self._fs_path(temporary), True)
+        folder = f"v={new}-{uuid.uuid4().hex}"
+        text_units.write.parquet(f"{self.path}/{folder}/text_units")
+        vision_units.write.parquet(f"{self.path}/{folder}/vision_units")
+        text = json.dumps({"version": new, "folder": folder, "config": config.to_dict()})
+        written, pointer = (self._fs_path(f"{self.path}/{n}") for n in (f"pointer-{folder}", f"CURRENT.{new}"))
+        stream = self._fs.create(written, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        self._fs.delete(self._fs_path(f"{self.path}/CURRENT"), False)
-        self._fs.rename(self._fs_path(temporary), self._fs_path(f"{self.path}/CURRENT"))
-        self._fs.delete(self._fs_path(f"{self.path}/v={new - 2}"), True)
+        if self._fs.exists(pointer) or not self._fs.rename(written, pointer):
+            self._fs.delete(written, False)
+            raise RuntimeError(f"another writer has made version {new} of {self.path}")
+        for old in self._versions()[:-2]:
+            gone = self._pointer(old)["folder"]
+            self._fs.delete(self._fs_path(f"{self.path}/CURRENT.{old}"), False)
+            self._fs.delete(self._fs_path(f"{self.path}/{gone}"), True)
         return new
 
 

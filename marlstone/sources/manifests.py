@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,14 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return normalize_manifest(spark.read.schema(INGEST_SCHEMA).option("multiLine", array).json(path))
 
 
+def read_examples(spark: SparkSession, path: str) -> DataFrame:
+    """(query, label) of labelled questions, a JSON array or JSON lines; ``vision_label`` stands for ``label``."""
+    head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    array = bool(head) and head[0][0].lstrip().startswith("[")
+    rows = spark.read.schema("query string, label double, vision_label double").option("multiLine", array).json(path)
+    return rows.select("query", F.coalesce("label", "vision_label").alias("label"))
+
+
 def normalize_manifest(rows: DataFrame) -> DataFrame:
     """The columns of INGEST_SCHEMA with ``id`` and ``images`` folded in, defaults set and rows numbered by ``seq``."""
     doc_id = F.coalesce("doc_id", "id")
@@ -57,10 +67,13 @@ def qrels(rows: DataFrame) -> DataFrame:
     return listed.unionByName(mapped)
 
 
+def _image_glob() -> str:
+    return "*.{" + ",".join(e for x in IMAGE_ENDINGS for e in (x, x.upper())) + "}"
+
+
 def scan_images(spark: SparkSession, folder: str) -> DataFrame:
     """(image_path, content) of all image files below a folder, endings in any case."""
-    glob = "*.{" + ",".join(e for x in IMAGE_ENDINGS for e in (x, x.upper())) + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _image_glob()).load(folder)
     return files.select(F.regexp_replace("path", "^file:", "").alias("image_path"), "content")
 
 
@@ -74,6 +87,54 @@ def file_contents(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(there).select(F.regexp_replace("path", "^file:/*", "/").alias("image_path"), "content")
 
 
+#: folders that are listed at once to find tiles
+MOST_FOLDERS = 10_000
+
+
+def tile_contents(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """(image_path, content) of those of the image files named in ``paths`` (image_path) that can be read.
+
+    Image files of the paths' folders, at most MOST_FOLDERS of them, are listed and read by Spark's reader, so any file system that it knows will do.
+    """
+    own = paths.select("image_path").where("image_path is not null").distinct()
+    rows = own.select(F.regexp_extract("image_path", r"^(.*/)[^/]*$", 1).alias("folder")).where("folder <> ''").distinct().limit(MOST_FOLDERS + 1).collect()
+    if len(rows) > MOST_FOLDERS:
+        raise ValueError(f"tiles lie in more than {MOST_FOLDERS} folders: read them in parts, or give their contents as a table")
+    fs = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    globs = [re.sub(r"([*?\[\]{}\\])", r"\\\1", r[0]) + _image_glob() for r in rows]
+    there = [g for g in globs if fs(g).getFileSystem(conf).globStatus(fs(g))]
+    if not there:
+        return spark.createDataFrame([], "image_path string, content binary")
+    plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    files = spark.read.format("binaryFile").load(there).select(plain("path").alias("at"), "content")
+    return own.withColumn("at", plain("image_path")).join(files, "at").select("image_path", "content")
+
+
+def write_files(files: DataFrame) -> DataFrame:
+    """Write (path, content) to files from the executors, each whole or not at all; returns their paths. The work is done when the result is used."""
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+        from pyarrow.fs import FileSystem, FileType
+
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                fs, where = FileSystem.from_uri(path if "://" in path else f"file://{path}")
+                fs.create_dir(os.path.dirname(where))
+                part = f"{where}.{os.getpid()}.part"
+                with fs.open_output_stream(part) as out:
+                    out.write(content)
+                if fs.get_file_info(where).type == FileType.File:
+                    fs.delete_file(where)
+                fs.move(part, where)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["path"])
+
+    return files.select("path", "content").mapInArrow(run, "path string")
+
+
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
     """(image_path, height, width, channels, data) of the images that can be decoded."""
     rows = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(folder)
@@ -101,6 +162,44 @@ def pdf_pages(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, page int, text string")
 
 
+def render_url(url: str, folder: str, width: int = 1280, scale: float = 1.0) -> list[str]:
+    """Render a page to one image file below ``folder`` with Playwright's browser, if that is there."""
+    try:
+        from playwright.sync_api import sync_playwright
+    except ImportError as e:
+        raise ImportError("rendering a URL needs Playwright and its browser") from e
+    import os
+
+    os.makedirs(folder, exist_ok=True)
+    to = os.path.join(folder, "page_0.png")
+    with sync_playwright() as own:
+        browser = own.chromium.launch()
+        try:
+            page = browser.new_page(viewport={"width": width, "height": 900}, device_scale_factor=scale)
+            page.goto(url, wait_until="networkidle")
+            page.screenshot(path=to, full_page=True)
+        finally:
+            browser.close()
+    return [to]
+
+
+def render_pdf(path: str, folder: str, scale: float = 1.5) -> list[str]:
+    """Render the pages of a PDF file to image files below ``folder`` with PyMuPDF, if that is there."""
+    try:
+        import fitz
+    except ImportError as e:
+        raise ImportError("rendering PDF files needs PyMuPDF") from e
+    import os
+
+    os.makedirs(folder, exist_ok=True)
+    out = []
+    with fitz.open(path) as doc:
+        for number, page in enumerate(doc):
+            out.append(os.path.join(folder, f"page_{number}.png"))
+            page.get_pixmap(matrix=fitz.Matrix(scale, scale)).save(out[-1])
+    return out
+
+
 def render_pages(targets: DataFrame, renderer, column: str = "url") -> DataFrame:
     """(target, page, image_path): ``renderer``, called once for each target on the executors, writes images and returns their paths."""
 

@@ -9,12 +9,15 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import EngineConfig
 from ..plans import ingest
 from ..sources.index import VersionedIndex, upsert
-from ..sources.manifests import INGEST_SCHEMA, normalize_manifest
+from ..sources.manifests import INGEST_SCHEMA, normalize_manifest, tile_contents
 
 
 def upsert_batch(index: VersionedIndex, docs: DataFrame, config: EngineConfig, contents: DataFrame | None = None) -> int:
-    """Replace the batch's documents in the index; returns the new version."""
-    chunks, tiles = ingest.prepare(docs, config)
+    """Replace the batch's documents in the index; returns the new version. Images are read from their files where ``contents`` is not given."""
+    if contents is None:
+        contents = tile_contents(docs.sparkSession, docs.select(F.explode("image_paths").alias("image_path")))
+    docs = ingest.with_image_score(docs, contents)
+    chunks, tiles = ingest.prepare(docs, config, F.col("image_score"))
     old_text, old_vision = index.read()
     ids = docs.select("doc_id").distinct()
     text = upsert(old_text, ingest.text_units(chunks, config).select(*old_text.columns), ids)

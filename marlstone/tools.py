@@ -4,11 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import functions as F
-
 from .engine import Engine
-from .operators import dedup
-from .operators.units import tiles_from_paths
 from .plans.search import result_rows
 from .sources.manifests import file_contents
 
@@ -27,7 +23,7 @@ TOOLS: dict[str, tuple[str, dict, tuple[str, ...]]] = {
     "stats": ("Count what is indexed.", {}, ()),
     "cost": ("Estimate storage and price.", {"pages": _I}, ()),
     "route": ("Weigh the modalities for a question.", {"query": _S, "model": _S}, ("query",)),
-    "dedup": ("Find equal tiles among files.", {"images": {"type": "array", "items": _S}, "scope": _S}, ("images",)),
+    "dedup": ("Find equal tiles among files.", {"images": {"type": "array", "items": _S}, "scope": _S, "method": _S}, ("images",)),
     "richness": ("Judge whether a page needs pixels.", {"text": _S, "html": _S}, ()),
 }
 CHANGES = {"add_text", "add_html", "add_batch", "delete", "update_text"}
@@ -81,9 +77,7 @@ def call_tool(name: str, args: dict[str, Any] | None, engine: Engine) -> dict:
         out = {k: round(v, 4) if isinstance(v, float) else v for k, v in row.items() if k != "query_id"}
     elif name == "dedup":
         paths = engine.spark.createDataFrame(list(enumerate(args["images"])), "seq long, image_path string")
-        tiles = tiles_from_paths(paths).join(paths, "image_path").join(file_contents(engine.spark, args["images"]), "image_path", "left")
-        keyed = tiles.withColumn("content_key", dedup.exact_key(F.col("content"), F.col("image_path"), F.col("unit_id")))
-        out = dedup.dedup_stats(keyed, scope=args.get("scope", "doc")).first().asDict()
+        out = engine.dedup_stats(paths.join(file_contents(engine.spark, args["images"]), "image_path", "left"), args.get("scope", "doc"), args.get("method"))
     else:
         out = engine.richness(args.get("text"), args.get("html"))
     if name in CHANGES:

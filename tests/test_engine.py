@@ -94,12 +94,15 @@ def test_config(tmp_path):
     path = str(tmp_path / "c.json")
     EngineConfig.from_dict({"top_k": 3, "other": 1}).to_file(path)
     c = EngineConfig.from_file(path)
-    assert c.top_k == 3 and c.extra == {"other": 1} and c.with_overrides(top_k=5).top_k == 5
+    assert c.fusion.top_k == 3 == c.get("top_k") and c.extra == {"other": 1} and c.with_settings(top_k=5).fusion.top_k == 5
+    assert EngineConfig.from_dict(c.to_dict()) == c
+    with pytest.raises(KeyError):
+        c.with_settings(other=2)
 
 
 def test_cli_parses():
     p = cli.parser()
-    for line in ("search x -k 3 --no-rerank", "cost --project-pages 5", "dedup --dir d", "eval f --cost", "serve", "add-text d --replace", "route q --model learned"):
+    for line in ("search x -k 3 --no-rerank", "cost --project-pages 5", "dedup --dir d", "eval f --cost", "serve", "add-text d --replace", "route q --model learned", "ingest-url http://x --id a", "ingest-pdf f --id a --no-text", "train-router --lr 0.1", "ingest-batch m --workers 2", "dedup --images a --method ahash"):
         p.parse_args(line.split())
     with pytest.raises(SystemExit):
         p.parse_args(["nothing"])
@@ -115,7 +118,7 @@ def test_formatted_and_model_rerank(engine, spark):
     from marlstone.operators import answer, rerank
 
     shown = answer.formatted(*engine.answer("record output of the solar array", modality="text")).first().shown
-    assert "Sources:\n[1] a (page 0, text)" in shown
+    assert "[1]\n\nSources:\n  [1] (text) doc=a — The solar array reached record output in June." in shown
     q = engine.questions(["x"])
     fused = spark.createDataFrame([(0, 0, "a", 0.9, "short"), (0, 1, "b", 0.1, "much longer text")], "query_id long, pos int, doc_id string, score double, text string")
     ranked = rerank.rerank_by_model(q, fused, lambda: lambda questions, texts: [len(t) for t in texts], 1.0).orderBy("pos").collect()

@@ -145,6 +145,6 @@ def test_weigh(spark):
     q = spark.createDataFrame([(1, "which chart")], "query_id long, query string")
     r = search.weigh(q, EngineConfig(), "text").first()
     assert (r.text_weight, r.vision_weight) == (1, 0)
-    assert search.weigh(q, EngineConfig(enable_router=False)).first().vision_weight == 1
+    assert search.weigh(q, EngineConfig().with_settings(enable_router=False)).first().vision_weight == 1
     with pytest.raises(ValueError):
         search.weigh(q, EngineConfig(), "smell")
