@@ -44,6 +44,11 @@ _SAMPLE = (
 )
 
 
+def sample_rows() -> tuple[tuple[str, str, str], ...]:
+    """(document, text, question that it answers)."""
+    return _SAMPLE
+
+
 def sample(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, queries, qrels): twelve of each."""
     docs = spark.createDataFrame([(d, t) for d, t, _ in _SAMPLE], "doc_id string, text string")
@@ -76,10 +81,10 @@ def images() -> dict[str, bytes]:
     colored = np.full((120, 80, 3), 255)
     colored[20:80, 10:60] = (220, 30, 30)
     gray = np.full((120, 80), 128)
-    noise = np.random.default_rng(0).integers(0, 256, (40, 40, 3))
+    board = 255 * (np.add.outer(np.arange(40) // 5, np.arange(40) // 5) % 2)
     return {
         "a_p0_t0.png": png(blank), "a_p1_t0.png": png(ruled), "b_p0_t0.png": png(colored), "b_p0_t1.png": png(gray),
-        "report_p2_p3_t1.png": png(noise), "c_p0_t0.PNG": png(blank), "notes.txt": b"no image",
+        "report_p2_p3_t1.png": png(board), "c_p0_t0.PNG": png(blank), "notes.txt": b"no image",
     }
 
 

@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
-from .fixtures import ROUTE_QUERIES
-from .functions.cues import TEXT_CUES, VISION_CUES
-from .functions.text import MEDIA_WEIGHTS, STRONG_MEDIA
-from .operators.answer import NO_ANSWER, PROMPT_HEAD, VISUAL_ANSWER, VISUAL_SNIPPET
-from .operators.routing import SEED_WEIGHTS
+from .fixtures import ROUTE_QUERIES, sample_rows
+from .operators.routing import SEED
+
+#: fixed values, written down here a second time so that a wrong one in the engine shows
+TEXT_CUES = (
+    "code|function|class|def|import|stack ?trace|exception|error|log|logs|json|yaml|regex|api|endpoint|sql|query|variable|"
+    "syntax|command|cli|config|null|undefined|traceback"
+)
+VISION_CUES = (
+    "chart|charts|graph|graphs|figure|figures|diagram|diagrams|table|tables|plot|plots|layout|screenshot|image|images|color|"
+    "colou?red|axis|legend|infographic|map|maps|drawing|photo|picture|visual|appears|looks|shown"
+)
+MEDIA_WEIGHTS = {"table": 1.0, "svg": 1.0, "canvas": 1.0, "figure": 0.8, "img": 0.6, "picture": 0.6, "chart": 0.9, "math": 0.7}
+STRONG_MEDIA = ("table", "svg", "canvas", "chart")
+VISUAL_SNIPPET = "visual evidence (table/chart/figure) — enable an LLM/VLM reader to read its contents"
+VISUAL_ANSWER = ("No extractable text matched this query, but relevant visual evidence was retrieved ", ". Enable an LLM/VLM reader to read the figures.")
+NO_ANSWER = "No relevant results were found in the index."
+PROMPT_HEAD = (
+    "Answer the question using ONLY the numbered sources below. Cite every claim with its source number in square brackets, e"
+    ".g. [1]. If the sources do not contain the answer, say so.\n\nQuestion: "
+)
 
 
 def _clean(x: str) -> str:
@@ -269,6 +285,38 @@ _COUNTS = f"""WITH RECURSIVE {_CHUNKS}, v AS (SELECT vec_id % (SELECT count(*) F
 n AS (SELECT (SELECT count(*) FROM chunks) AS t, (SELECT count(*) FROM v) AS v, (SELECT count(*) FROM (SELECT DISTINCT doc_id, page FROM v)) AS p)"""
 
 
+def _values(rows) -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x!r}::DOUBLE" if isinstance(x, float) else str(x)
+    return ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
+
+
+def _fit_sql() -> str:
+    """fitted(w): 4,000 steps of gradient descent from zero on the seed questions, the bias without decay."""
+    seed = _values((i, q, float(y)) for i, (q, y) in enumerate(SEED))
+    own = _FEATURES.replace("feats AS", "seed_feats AS").replace("FROM hits", "FROM seed_hits")
+    hits = _hits("seed").replace("hits AS", "seed_hits AS", 1)
+    p = "1 / (1 + exp(-greatest(-30, least(30, list_dot_product(r.x, w)))))"
+    return f"""seed(query_id, query, y) AS (VALUES {seed}), {hits}, {own},
+seen_(rows_) AS (SELECT list(struct_pack(x := [bias, text, vision, codeish, "numeric", length], y := y)) FROM seed_feats JOIN seed USING (query_id)),
+steps(step, w) AS (SELECT 0, list_transform(range(6), lambda i: 0.0::DOUBLE) UNION ALL
+  SELECT step + 1, list_transform(range(6), lambda j: w[j + 1] - 0.5::DOUBLE * (list_sum(list_transform(rows_, lambda r: ({p} - r.y) * r.x[j + 1])) / {len(SEED)}
+    + CASE WHEN j = 0 THEN 0.0 ELSE 0.001::DOUBLE * w[j + 1] END)) FROM steps, seen_ WHERE step < 4000),
+fitted AS (SELECT w FROM steps WHERE step = 4000)"""
+
+
+def _sample_sql() -> str:
+    """The own evaluation set: every document is one chunk, every question has one relevant document, nothing visual is indexed."""
+    docs = _values((d, t) for d, t, _ in sample_rows())
+    asked = _values((i, q, d) for i, (d, _, q) in enumerate(sample_rows()))
+    return f"""WITH sdocs(doc_id, text) AS (VALUES {docs}), sasked(query_id, text, wanted) AS (VALUES {asked}), {_embedded("de", "sdocs", "doc_id")}, {_embedded("qe", "sasked", "query_id")},
+srank AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(a.v, b.v), 9) DESC, substr(sha1(doc_id || ':0:' || substr(text, 1, 32)), 1, 16)) AS i FROM qe a, de b JOIN sdocs USING (doc_id)),
+own AS (SELECT i FROM srank JOIN sasked USING (query_id) WHERE doc_id = wanted),
+ks(k) AS (VALUES (1::BIGINT), (3), (5), (10)),
+found AS (SELECT k, avg((i <= k)::INT) AS hit, avg((i <= k)::INT / k::DOUBLE) AS precision, avg(CASE WHEN i <= 10 THEN 1.0::DOUBLE / i ELSE 0 END) AS mrr, avg(CASE WHEN i <= k THEN 1.0::DOUBLE / log2(i + 1) ELSE 0 END) AS ndcg FROM own, ks GROUP BY k)
+SELECT mode, k, {_r("hit")} AS hit, {_r("hit")} AS recall, {_r("precision")} AS precision, {_r("mrr")} AS mrr, {_r("ndcg")} AS ndcg, '' AS note FROM found, (VALUES ('text'), ('hybrid')) m(mode)
+UNION ALL SELECT 'vision', k, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 'skipped: nothing indexed' FROM ks"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "clean_text": f"SELECT doc_id, {_clean('text')} AS text FROM documents",
@@ -313,8 +361,8 @@ SELECT query_id, pos, doc_id, modality, unit_id, {_r('score')} AS score, {_r('c_
   CASE WHEN modality = 'text' THEN 0 ELSE substr(unit_id, 2)::INT % 3 END || '}}' AS row, {_r('score')} AS score FROM placed""",
         "route_features": f"WITH {_ASKED}, {_hits('asked')}, {_FEATURES} SELECT query_id, {', '.join(f'{_r(f)} AS {f}' for f in ('bias', 'text', 'vision', 'codeish', 'numeric', 'length'))} FROM feats",
         "route_heuristic": f"WITH {_ASKED}, {_hits('asked')}, {_ROUTED} SELECT query_id, {_r('text_weight')} AS text_weight, {_r('vision_weight')} AS vision_weight, reason FROM routed",
-        "route_learned": f"""WITH {_ASKED}, {_hits('asked')}, {_FEATURES},
-p AS (SELECT query_id, 1 / (1 + exp(-({' + '.join(f'{f} * ({w})::DOUBLE' for f, w in zip(('bias', 'text', 'vision', 'codeish', 'numeric', 'length'), SEED_WEIGHTS))}))) AS p FROM feats)
+        "route_learned": f"""WITH RECURSIVE {_fit_sql()}, {_ASKED}, {_hits('asked')}, {_FEATURES},
+p AS (SELECT query_id, 1 / (1 + exp(-list_dot_product([bias, text, vision, codeish, "numeric", length], (SELECT list_transform(w, lambda x: round(x, 6)) FROM fitted)))) AS p FROM feats)
 SELECT query_id, {_r('p')} AS p, {_r('1 - 0.7::DOUBLE * (2 * p - 1)')} AS text_weight, {_r('1 + 0.7::DOUBLE * (2 * p - 1)')} AS vision_weight FROM p""",
         "bm25_rerank": f"WITH {_CANDIDATES}, {_bm25('s', 'q', 'cand', 'doc_id')} SELECT query_id, doc_id, {_r('bm25')} AS bm25 FROM s",
         "rerank_blend": f"""WITH {_CANDIDATES}, {_bm25('s', 'q', 'cand', 'doc_id')}, base AS (SELECT *, 1 / (60.0::DOUBLE + pos) AS score FROM cand), {_blend('base', 's', 10)}
@@ -356,7 +404,17 @@ FROM (SELECT n, least(5, floor(log2(n) / 10))::INT AS p FROM (SELECT pow(5, n_na
 rich AS (SELECT page_id FROM v WHERE greatest(CASE WHEN {_LIKE_HTML("text")} THEN {_html_score("text")} ELSE 0.0 END, {_LAYOUT}) >= 0.35) SELECT doc_id, title, CASE WHEN page_id % 5 = 0 OR own IS NOT NULL OR page_id IN (SELECT page_id FROM rich) THEN doc_id || '_p0_t0=/a.png,' || doc_id || '_p0_t1=/' || doc_id || '.png' ELSE '' END AS tiles FROM m""",
         "eval_report": f"""WITH {_JUDGED}, both_ AS (SELECT 'vision' AS mode, * FROM ranked UNION ALL SELECT 'half', * FROM ranked WHERE rank % 2 = 0), {_measured('both_', 'mode')}
 SELECT mode, k::BIGINT AS k, {_r('avg(hit)')} AS hit, {_r('avg(recall)')} AS recall, {_r('avg(precision)')} AS precision, {_r('avg(rr)')} AS mrr, {_r('avg(ndcg)')} AS ndcg FROM measured GROUP BY ALL""",
-        "route_train": f"SELECT * FROM (VALUES {', '.join(f"('{f}', ({w})::DOUBLE)" for f, w in zip(('bias', 'text', 'vision', 'codeish', 'numeric', 'length'), SEED_WEIGHTS))}) t(feature, weight)",
+        "route_train": f"WITH RECURSIVE {_fit_sql()} SELECT unnest(['bias', 'text', 'vision', 'codeish', 'numeric', 'length']) AS feature, unnest(list_transform(w, lambda x: round(x, 6))) AS weight FROM fitted",
+        "manifest_scan": "SELECT * FROM (VALUES ('a', 'A', 0::BIGINT, 0::BIGINT), ('b', '', 3, 2), ('c', '', 0, 1)) t(doc_id, title, page, images)",
+        "scan_tiles": """SELECT * FROM (VALUES ('a_p0_t0', 'a', 'a_p0_t0.png'), ('a_p1_t0', 'a', 'a_p1_t0.png'), ('b_p0_t0', 'b', 'b_p0_t0.png'), ('b_p0_t1', 'b', 'b_p0_t1.png'),
+  ('report_p2_p3_t1', 'report_p2', 'report_p2_p3_t1.png'), ('c_p0_t0', 'c', 'c_p0_t0.PNG')) t(unit_id, doc_id, image_path)""",
+        # by hand: ten of 120 rows are dark; 3,000 of 9,600 pixels are coloured, over more than 0.6 of 60 rows, with gray levels between 0.25 and 0.75; one gray; a board of black and white
+        "image_richness": """SELECT file, score::DOUBLE AS score, lines::DOUBLE AS lines, color::DOUBLE AS color, midtone::DOUBLE AS midtone FROM (VALUES ('a_p0_t0.png', 0, 0, 0, 0), ('a_p1_t0.png', 0.45, 1, 0, 0),
+  ('b_p0_t0.png', 1, 1, 1, 0.9375), ('b_p0_t1.png', 0.25, 0, 0, 1), ('report_p2_p3_t1.png', 0, 0, 0, 0), ('c_p0_t0.PNG', 0, 0, 0, 0)) t(file, score, lines, color, midtone)""",
+        # by hand: boxes with two of the ten dark rows are darker than the mean; boxes 1 to 5 either way touch the coloured part
+        "dedup_ahash": """SELECT * FROM (VALUES ('a_p0_t0.png', 'ffffffffffffffff'), ('a_p1_t0.png', '00ffffff00ffffff'), ('b_p0_t0.png', 'ff8383838383ffff'), ('b_p0_t1.png', 'ffffffffffffffff'),
+  ('report_p2_p3_t1.png', '55aa55aa55aa55aa'), ('c_p0_t0.PNG', 'ffffffffffffffff')) t(file, ahash)""",
+        "eval_sample": _sample_sql(),
     }
     pieces = f"""WITH RECURSIVE {_MANIFEST}, documents AS (SELECT doc_id, coalesce(own, {_html_text('html')}) AS text, page_id FROM m), {_CHUNKS},
 v AS (SELECT page_id, {_html_text('html')} AS text FROM pages),
@@ -366,6 +424,10 @@ tiles AS (SELECT doc_id, unnest(['/a.png', '/' || doc_id || '.png']) AS image_pa
 UNION ALL SELECT doc_id, 'text', count(*) FROM chunks GROUP BY doc_id"""
     out["ingest_stats"] = f"""{pieces} SELECT (SELECT count(*) FROM m) AS documents, (SELECT count(*) FROM m WHERE own IS NOT NULL) AS text_docs, (SELECT count(*) FROM m WHERE own IS NULL) AS html_docs,
   (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM tiles) AS tiles, (SELECT count(DISTINCT doc_id) FROM tiles) AS docs_with_pixels, (SELECT count(*) FROM m) - (SELECT count(DISTINCT doc_id) FROM tiles) AS vision_skipped"""
+    out["stream_ingest"] = f"{pieces} SELECT doc_id, count(*) AS units FROM chunks GROUP BY doc_id"
+    # a vector of 384 numbers repeats one of 32 twelve times
+    out["index_roundtrip"] = f"""{pieces}, {_embedded("ce", "chunks", "unit_id")}, nt AS (SELECT doc_id, count(*) AS tiles FROM tiles GROUP BY doc_id)
+SELECT c.doc_id, count(*) AS units, {_r("sum(v[1] / sqrt(12::DOUBLE))")} AS first, coalesce(any_value(nt.tiles), 0) AS tiles FROM chunks c JOIN ce USING (unit_id) LEFT JOIN nt ON nt.doc_id = c.doc_id GROUP BY c.doc_id"""
     out |= {f"fuse_{n}": f"WITH {_RANKED_TIES}, {_fused(n, 10)} {_SHOWN}" for n in _PARTS}
     out |= {f"eval_{n}": f"WITH {_JUDGED}, {_measured('ranked')} SELECT query_id, k::BIGINT AS k, {_r(c)} AS {c} FROM measured" for n, c in (("hit", "hit"), ("recall", "recall"), ("precision", "precision"), ("mrr", "rr"), ("ndcg", "ndcg"))}
     return out

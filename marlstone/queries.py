@@ -472,7 +472,8 @@ def eval_sample(spark, sf):
     """The engine's own small evaluation set under all modes: nothing visual is indexed."""
     docs, queries, qrels = fixtures.sample(spark)
     t = units.chunk_text(docs).withColumn("embedding", embedding.hash_embed(F.col("text"), CONFIG.text.dim)).withColumn("page", F.lit(0))
-    return evaluate(queries, qrels, t, spark.createDataFrame([], store.VISION_UNITS), (1, 3, 5, 10), config=CONFIG)
+    rows = evaluate(queries, qrels, t, spark.createDataFrame([], store.VISION_UNITS), (1, 3, 5, 10), config=CONFIG)
+    return rows.select("mode", F.col("k").cast("long").alias("k"), *[_r(n).alias(n) for n in ("hit", "recall", "precision", "mrr", "ndcg")], "note")
 
 
 def qrels_normalize(spark, sf):
@@ -508,12 +509,12 @@ def human_bytes(spark, sf):
 
 
 def manifest_scan(spark, sf):
-    return manifests.read_manifest(spark, fixtures.write_manifest(spark)).select("doc_id", "title", "page", F.size("image_paths").alias("images"))
+    return manifests.read_manifest(spark, fixtures.write_manifest(spark)).select("doc_id", "title", F.col("page").cast("long").alias("page"), F.size("image_paths").cast("long").alias("images"))
 
 
 def scan_tiles(spark, sf):
     files = manifests.scan_images(spark, fixtures.write_images(spark))
-    return units.tiles_from_paths(files)
+    return units.tiles_from_paths(files).withColumn("image_path", F.regexp_extract("image_path", "([^/]*)$", 1))
 
 
 def image_richness(spark, sf):
@@ -539,7 +540,8 @@ def index_roundtrip(spark, sf):
     streaming.upsert_batch(where, m, CONFIG)
     streaming.upsert_batch(where, m.where("page_id % 2 = 0") if "page_id" in m.columns else m.where("seq % 2 = 0"), CONFIG)
     t, v = where.read()
-    return t.groupBy("doc_id").agg(F.count("*").alias("units")).join(v.groupBy("doc_id").agg(F.count("*").alias("tiles")), "doc_id", "left")
+    text = t.groupBy("doc_id").agg(F.count("*").alias("units"), _r(F.sum(F.col("embedding")[0])).alias("first"))
+    return text.join(v.groupBy("doc_id").agg(F.count("*").alias("tiles")), "doc_id", "left").withColumn("tiles", F.coalesce("tiles", F.lit(0)))
 
 
 def stream_ingest(spark, sf):

@@ -231,7 +231,7 @@ def test_two_writers_of_one_version(spark, tmp_path, monkeypatch):
 def test_eval_command(spark, tmp_path, capsys):
     path = str(tmp_path / "set.json")
     with open(path, "w") as f:
-        json.dump({"name": "s", "documents": [{"doc_id": d, "text": t} for d, t, _ in fixtures._SAMPLE[:4]], "queries": [{"id": str(i), "query": q, "relevant": [d]} for i, (d, _, q) in enumerate(fixtures._SAMPLE[:4])]}, f)
+        json.dump({"name": "s", "documents": [{"doc_id": d, "text": t} for d, t, _ in fixtures.sample_rows()[:4]], "queries": [{"id": str(i), "query": q, "relevant": [d]} for i, (d, _, q) in enumerate(fixtures.sample_rows()[:4])]}, f)
     args = cli.parser().parse_args(["--storage", str(tmp_path / "s"), "eval", path, "-k", "1,3", "--cost"])
     args.run(args, Engine(spark, path=args.storage))
     shown = capsys.readouterr().out
