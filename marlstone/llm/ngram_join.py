@@ -372,7 +372,10 @@ def link_documents(
     wanted = classes.where(F.col("lone") < p).select(F.col("rep").alias("doc_id"))
     texts = lean.join(wanted, "doc_id", "left_semi")
     sets = stage(texts.mapInArrow(_all_tokens(words_each), "doc_id long, tokens array<long>").dropDuplicates(["doc_id"]), "sets")
-    named = _resolve(_index(sets, percent, frequent), sets, percent)
+    index = _index(sets, percent, frequent)
+    named = _resolve(index, sets, percent)
+    unstage(index)
+    unstage(sets)
     # every document has the component of the first document with its set
     placed = classes.select(*by, "rep").join(named, F.col("rep") == F.col("node"), "left").select(*by, F.coalesce("component", "rep").alias("component"))
     every = sizes.groupBy("doc_id").agg(F.max(F.struct(*by)).alias("s")).select("doc_id", "s.*")
@@ -432,7 +435,11 @@ def _resolve(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .distinct()
     )
     more = _linked(pairs, sets, percent)
-    return named if more.isEmpty() else components(links.unionByName(more))
+    if not more.isEmpty():
+        named = components(links.unionByName(more))
+    for done in (placed, links, more):
+        unstage(done)
+    return named
 
 
 def keep_one(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT) -> DataFrame:

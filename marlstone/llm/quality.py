@@ -116,7 +116,7 @@ def score_column(column, weights: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, fold: Column, rows: int = FIT_ROWS, target: str = "quality") -> np.ndarray:
     """Fit on the labelled rows of ``docs`` for which ``fold`` (over ``doc_id``) holds, at most ``rows`` of them.
 
-    The bound makes the fit one task of fixed size. Rows with a null label or id are left out; a
+    The bound makes the fit one task of bounded size. Rows with a null label or id are left out; a
     fit without rows gives weights of 0, so every score is 0.5.
     """
     chosen = (
@@ -127,18 +127,27 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column, rows: int = FIT_ROWS,
     )
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
+        for batch in batches:
+            found = list(sparse_rows(batch.column(2)))
+            slots = pa.array([s.astype(np.int32) for s, _ in found], pa.list_(pa.int32()))
+            values = pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), slots, values], ["at", "doc_id", "label", "slots", "values"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker()
         own = [b for b in batches if b.num_rows]
-        table = pa.Table.from_batches(own).sort_by([("at", "ascending"), ("doc_id", "ascending")]) if own else None
         found = fit_ftrl([], np.zeros(0))
-        if table is not None:
-            text = table.column("text").combine_chunks()
-            found = fit_ftrl(list(sparse_rows(text)), table.column("label").to_numpy())
+        if own:
+            table = pa.Table.from_batches(own).sort_by([("at", "ascending"), ("doc_id", "ascending")])
+            pairs = [(s.values.to_numpy(), v.values.to_numpy()) for s, v in zip(table.column("slots"), table.column("values"))]
+            found = fit_ftrl(pairs, table.column("label").to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], ["weights"])
 
-    one = sample.select(F.xxhash64("doc_id").alias("at"), "doc_id", "text", "label").repartition(1)
-    found = one.mapInArrow(run, "weights binary").take(1)
+    # texts stay where they are: the task that fits gets features, no more of a row than there are slots
+    rows = sample.select(F.xxhash64("doc_id").alias("at"), "doc_id", "text", "label").mapInArrow(cut, "at long, doc_id long, label int, slots array<int>, values array<float>")
+    found = rows.repartition(1).mapInArrow(run, "weights binary").take(1)
     return np.frombuffer(found[0]["weights"], np.float32) if found else fit_ftrl([], np.zeros(0))
 
 

@@ -23,7 +23,7 @@ from .common import with_id, worker_state
 
 SPACE = "▁"
 #: distinct units that a worker remembers
-CACHE_UNITS = 800_000
+CACHE_UNITS = 1_000_000
 #: units longer than this are merged one by one with a queue of pairs
 LONG_UNIT = 64
 _BASE = U(0x9E3779B97F4A7C15)
