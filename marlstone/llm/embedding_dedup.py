@@ -20,7 +20,7 @@ from .cover_tree import CoverTree, Merger, close_pairs
 
 COSINE = 0.93
 #: vectors of a block, so that a task holds two of them; sampled vectors from which pivots are chosen; pivots of a label
-BLOCK, SAMPLE, PIVOTS = 2_048, 1_024, 32
+BLOCK, SAMPLE, PIVOTS = 2_048, 1_024, 256
 _PIVOT_GAP = 0.5
 
 
@@ -58,8 +58,8 @@ def _readable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str)
     return base.mapInArrow(run, "vec_id long, space string, vector binary")
 
 
-def _pivots(sample: list) -> dict[str, np.ndarray]:
-    """By space, vectors of the sample that lie apart, farthest first."""
+def _pivots(sample: list, total: int) -> dict[str, np.ndarray]:
+    """By space, vectors of the sample that lie apart, farthest first: as many as the space has blocks, by its share of the sample of ``total`` vectors."""
     by: dict[str, list[bytes]] = {}
     for r in sample:
         by.setdefault(r["space"], []).append(bytes(r["vector"]))
@@ -67,7 +67,8 @@ def _pivots(sample: list) -> dict[str, np.ndarray]:
     for space, data in by.items():
         x = _unit(data)
         chosen, far = [0], np.linalg.norm(x - x[0], axis=1)
-        while len(chosen) < PIVOTS and far.max() > _PIVOT_GAP:
+        most = min(PIVOTS, -(-total * len(data) // (len(sample) * BLOCK)))
+        while len(chosen) < most and far.max() > _PIVOT_GAP:
             chosen.append(int(far.argmax()))
             far = np.minimum(far, np.linalg.norm(x - x[chosen[-1]], axis=1))
         out[space] = x[chosen]
@@ -91,7 +92,7 @@ def link_vectors(
         ready.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("space").alias("space"), F.first("vector").alias("vector")),
         "distinct-vectors",
     )
-    pivots = _pivots(groups.select("space", "vector", F.xxhash64("key").alias("at")).orderBy("at").limit(SAMPLE).collect())
+    pivots = _pivots(groups.select("space", "vector", F.xxhash64("key").alias("at")).orderBy("at").limit(SAMPLE).collect(), groups.count())
     sent = spark.sparkContext.broadcast(pivots)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
