@@ -6,7 +6,11 @@ bounded size that are independent of each other, so packing is one task per bin
 
 from __future__ import annotations
 
+import json
 import os
+import string
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +21,14 @@ from pyspark.sql import functions as F
 from .bytesops import text_slices
 from .common import stage, with_id, worker_state
 
+assert array("I").itemsize == 4 and sys.byteorder == "little", "ids are written as the machine has them"
+
 WINDOW = 2048
 END_ID = 1
 #: pieces to a bin on average: bounds a packing task, and the padding of its last windows stays under 1 in 10,000
 BIN_PIECES = 50_000
+#: what may stand behind a word without a part in common with it
+SIGNS = frozenset(string.punctuation)
 #: distinct words whose ids a worker remembers
 CACHE_WORDS = 1_600_000
 
@@ -40,7 +48,8 @@ class WordEncoder:
     the ids of its lower-cased words in a row. Only texts whose characters all lie below U+0100,
     where lower case and normal form are plain, are lower-cased here; a text that may hold a special
     token's string goes to the tokenizer whole. The memory has two generations of half the bound
-    each: words that come up again move to the younger one.
+    each: words that come up again move to the younger one. New words in plain lower case are encoded without the steps that cannot change them:
+    the normaliser, and for words of letters alone the search for parts.
     """
 
     def __init__(self, path: str, bound: int = CACHE_WORDS):
@@ -48,14 +57,59 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain, self.letters = self._shortened()
         self.marks = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.half = bound // 2
         self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+    def _shortened(self) -> tuple:
+        """Tokenizers for printable lower-case ASCII words and for lower-case words of letters below U+0100; the whole one where its steps are not those that these words pass unchanged."""
+        from tokenizers import Tokenizer
+
+        steps = json.loads(self.tokenizer.to_str())
+        normalizer, cutter = steps["normalizer"] or {}, steps["pre_tokenizer"] or {}
+        kinds = [n["type"] for n in normalizer.get("normalizers", [])], [p["type"] for p in cutter.get("pretokenizers", [])]
+        if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or "[\\p{L}]+|" not in str(cutter["pretokenizers"][0]["pattern"].get("Regex")):
+            return self.tokenizer, self.tokenizer
+        steps["normalizer"] = None
+        plain = Tokenizer.from_str(json.dumps(steps))
+        steps |= {"pre_tokenizer": cutter["pretokenizers"][1], "added_tokens": []}
+        return plain, Tokenizer.from_str(json.dumps(steps))
+
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Put new words' ids in memory. A word of letters with one sign behind it has the ids of both, one after the other."""
+        letters: list[str] = []
+        plain: list[str] = []
+        other: list[str] = []
+        signed: list[tuple[str, str]] = []
+        for w in words:
+            if w != w.lower() or max(w) >= "\u0100":
+                other.append(w)
+            elif w.isalpha():
+                letters.append(w)
+            elif w[-1] in SIGNS and w[:-1].isalpha():
+                signed.append((w, w[:-1]))
+            elif w.isascii() and w.isprintable():
+                plain.append(w)
+            else:
+                other.append(w)
+        fresh = set(letters)
+        for base in {base for _, base in signed}.difference(self.known, fresh):
+            held = self.old.get(base)
+            if held is None:
+                letters.append(base)
+            else:
+                self.known[base] = held
+        for tokenizer, own in ((self.letters, letters), (self.plain, plain), (self.tokenizer, other)):
+            self.known.update(zip(own, self._ids(tokenizer, own)))
+        signs = sorted({w[-1] for w, _ in signed})
+        sign = dict(zip(signs, self._ids(self.plain, signs)))
+        self.known.update((w, self.known[base] + sign[w[-1]]) for w, base in signed)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split: list[list[str] | None] = []
@@ -71,10 +125,10 @@ class WordEncoder:
                 pass
             split.append(text.replace("\n", " ").split(" "))
             distinct.update(split[-1])
-        missing = [w for w in distinct if w not in self.known]
+        missing = distinct.difference(self.known)
         if len(self.known) + len(missing) > self.half:
             self.old, self.known = self.known, {"": b""}
-            missing = [w for w in distinct if w]
+            missing = distinct - {""}
         new = []
         for w in missing:
             held = self.old.get(w)
@@ -82,9 +136,9 @@ class WordEncoder:
                 new.append(w)
             else:
                 self.known[w] = held
-        self.known.update(zip(new, self._encode(new)))
+        self._learn(new)
         find = self.known.__getitem__
-        return [self._encode([t])[0] if w is None else b"".join(map(find, w)) for t, w in zip(texts, split)]
+        return [self._ids(self.tokenizer, [t])[0] if w is None else b"".join(map(find, w)) for t, w in zip(texts, split)]
 
 
 def token_pieces(

@@ -66,6 +66,18 @@ def test_packing(spark):
     assert packing.pack(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_words_have_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    e = packing.WordEncoder(packing.default_tokenizer())
+    assert e.plain is not e.tokenizer and e.letters is not e.plain
+    r = random.Random(6)
+    texts = ["".join(r.choice("abzAÉéßµª²½'stvel1٣_-.,!\t\r\x0b\xa0\x85 \n\x00é日") for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    for t, ids in zip(texts, e.ids(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_packing_repeated_and_null_ids(spark):
     d = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     rows = packing.pack(d).collect()
@@ -78,7 +90,7 @@ def test_word_memory_is_bounded():
     texts = [prose(i, 40) for i in range(20)]
     whole = packing.WordEncoder(packing.default_tokenizer())
     assert [e.ids([t])[0] for t in texts] == whole.ids(texts)
-    assert len(e.known) <= 100
+    assert len(e.known) <= 150
 
 
 # SentencePiece
