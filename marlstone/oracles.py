@@ -195,22 +195,26 @@ def _bm25(name: str, queries: str, docs: str, key: str) -> str:
 {name} AS (SELECT query_id, {key}, coalesce(bm25, 0) AS bm25 FROM {name}_d LEFT JOIN {name}_s USING (query_id, {key}))"""
 
 
-def _blend(source: str, scores: str, top_k: int, k: str = "doc_id") -> str:
+def _blend(source: str, scores: str, top_k: int, k: str = "doc_id", weight: float = 0.5) -> str:
     """From ``source``(query_id, pos, doc_id, score, text, ...) and ``scores``: blended with new pos and c_rerank."""
     scale = lambda c: f"CASE WHEN max({c}) OVER q - min({c}) OVER q < 1e-12 THEN 0.0 ELSE ({c} - min({c}) OVER q) / (max({c}) OVER q - min({c}) OVER q) END"
     return f"""
 scaled AS (SELECT f.*, {scale("coalesce(bm25, 0)")} AS rr, {scale("score")} AS fn FROM {source} f LEFT JOIN {scores} USING (query_id, {k}) WINDOW q AS (PARTITION BY query_id)),
-mixed AS (SELECT * EXCLUDE (score), CASE WHEN trim(coalesce(text, '')) = '' THEN fn ELSE rr END AS rr2, 0.5 * (CASE WHEN trim(coalesce(text, '')) = '' THEN fn ELSE rr END) + 0.5 * fn AS score FROM scaled),
+mixed AS (SELECT * EXCLUDE (score), CASE WHEN trim(coalesce(text, '')) = '' THEN fn ELSE rr END AS rr2, {weight}::DOUBLE * (CASE WHEN trim(coalesce(text, '')) = '' THEN fn ELSE rr END) + (1 - {weight}::DOUBLE) * fn AS score FROM scaled),
 blended AS (SELECT * FROM (SELECT * EXCLUDE (pos), row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) - 1 AS pos FROM mixed) WHERE pos < {top_k})"""
 
 
-_CANDIDATES = """
-q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
-cand AS (SELECT query_id, k AS pos, d.doc_id, CASE WHEN d.doc_id % 11 = 5 THEN '' ELSE d.text END AS text
-  FROM q, range(30) r(k), documents d WHERE d.doc_id = (query_id * 31 + k * 17) % (SELECT count(*) FROM documents))"""
-_POOL = f"""{_CANDIDATES},
-ahits AS (SELECT query_id, pos AS rank, doc_id::VARCHAR AS doc_id, 'u' || doc_id AS unit_id, CASE WHEN text = '' THEN 'vision' ELSE 'text' END AS modality,
-  CASE WHEN text = '' AND doc_id % 2 = 0 THEN 'A title tells what document ' || doc_id || ' shows.' ELSE text END AS text, CASE WHEN text = '' THEN '/tiles/' || doc_id END AS image_path FROM (SELECT query_id, pos, doc_id, text FROM cand) WHERE pos < 5),
+def _found(how: str, depth: int) -> str:
+    """q(query_id, query) and cand: the fused hits of the search over all units, with what they hold; tiles show their title where they have one."""
+    return f"""{_hybrid(how, depth)},
+q AS (SELECT query_id, query FROM asked),
+cand AS (SELECT query_id, pos, p.doc_id, unit_id, modality, score, coalesce(CASE WHEN tile % 7 = 0 THEN 'the figure of document ' || p.doc_id ELSE c.text END, '') AS text,
+  coalesce(tile % 3, 0) AS page, '/tiles/' || tile || '.png' AS image_path
+  FROM (SELECT *, CASE WHEN modality = 'vision' THEN try_cast(substr(unit_id, 2) AS INT) END AS tile FROM placed) p LEFT JOIN (SELECT DISTINCT unit_id, text FROM chunks) c USING (unit_id))"""
+
+
+_POOL = f"""{_found("rrf", 5)},
+ahits AS (SELECT * RENAME (pos AS rank) FROM cand),
 sents AS (SELECT *, {_sentences("text")} AS parts FROM ahits),
 spread AS (SELECT query_id, rank, doc_id, unit_id, modality, image_path, len(parts) AS n, unnest(parts) AS sent, unnest(range(len(parts))) AS place_ FROM sents),
 pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, place_) - 1 AS idx FROM spread WHERE length(sent) >= 20 OR n = 1)"""
@@ -327,9 +331,10 @@ def oracle_sql() -> dict[str, str]:
         "html_to_text": f"SELECT page_id, {_html_text('html')} AS text FROM pages",
         "html_richness": f"SELECT page_id, {_r(_html_score('html'))} AS score FROM (SELECT page_id, {_MEDIA} AS html FROM pages)",
         "text_richness": f"SELECT doc_id, {_r(f'greatest(CASE WHEN {_LIKE_HTML("text")} THEN {_html_score("text")} ELSE 0.0 END, {_LAYOUT})')} AS score FROM documents",
-        "pixel_decision": f"""WITH p AS (SELECT page_id, {_MEDIA} AS html, CASE WHEN page_id % 3 = 0 THEN (page_id % 10 / 10.0)::DOUBLE END AS img FROM pages),
-s AS (SELECT page_id, img, {_html_score('html')} AS t FROM p),
-d AS (SELECT page_id, CASE WHEN img IS NULL THEN t ELSE greatest(img, 0.7::DOUBLE * t, 0.6::DOUBLE * img + 0.4::DOUBLE * t) END AS richness FROM s)
+        "pixel_decision": f"""WITH p AS (SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN {_html_text('html')} ELSE '' END AS text, CASE WHEN page_id % 2 <> 0 THEN {_MEDIA} ELSE '' END AS html,
+  CASE WHEN page_id % 3 = 0 THEN (page_id % 10 / 10.0)::DOUBLE END AS img FROM pages),
+s AS (SELECT page_id, img, text <> '' OR html <> '' AS have, greatest(CASE WHEN html <> '' THEN {_html_score('html')} WHEN {_LIKE_HTML('text')} THEN {_html_score('text')} ELSE 0.0 END, {_LAYOUT}) AS t FROM p),
+d AS (SELECT page_id, CASE WHEN img IS NULL THEN CASE WHEN have THEN t ELSE 1.0 END WHEN have THEN greatest(img, 0.7::DOUBLE * t, 0.6::DOUBLE * img + 0.4::DOUBLE * t) ELSE img END AS richness FROM s)
 SELECT page_id, {_r('richness')} AS richness, richness >= 0.35 AS index_pixels FROM d""",
         "chunk_text": f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, ord, text FROM chunks",
         "chunk_ids": f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, ord, unit_id FROM chunks",
@@ -364,21 +369,21 @@ SELECT query_id, pos, doc_id, modality, unit_id, {_r('score')} AS score, {_r('c_
         "route_learned": f"""WITH RECURSIVE {_fit_sql()}, {_ASKED}, {_hits('asked')}, {_FEATURES},
 p AS (SELECT query_id, 1 / (1 + exp(-list_dot_product([bias, text, vision, codeish, "numeric", length], (SELECT list_transform(w, lambda x: round(x, 6)) FROM fitted)))) AS p FROM feats)
 SELECT query_id, {_r('p')} AS p, {_r('1 - 0.7::DOUBLE * (2 * p - 1)')} AS text_weight, {_r('1 + 0.7::DOUBLE * (2 * p - 1)')} AS vision_weight FROM p""",
-        "bm25_rerank": f"WITH {_CANDIDATES}, {_bm25('s', 'q', 'cand', 'doc_id')} SELECT query_id, doc_id, {_r('bm25')} AS bm25 FROM s",
-        "rerank_blend": f"""WITH {_CANDIDATES}, {_bm25('s', 'q', 'cand', 'doc_id')}, base AS (SELECT *, 1 / (60.0::DOUBLE + pos) AS score FROM cand), {_blend('base', 's', 10)}
+        "bm25_rerank": f"{_found('rrf', 30)}, {_bm25('s', 'q', 'cand', 'doc_id')} SELECT query_id, doc_id, {_r('bm25')} AS bm25 FROM s",
+        "rerank_blend": f"""{_found('minmax', 30)}, {_bm25('s', 'q', 'cand', 'doc_id')}, {_blend('cand', 's', 10, weight=0.8)}
 SELECT query_id, pos, doc_id, {_r('score')} AS score, {_r('round(rr2, 6)')} AS c_rerank FROM blended""",
-        "answer_pool": f"WITH {_POOL} SELECT query_id, idx, doc_id, sent FROM pool",
-        "answer_bm25": f"WITH {_CHOSEN} SELECT query_id, idx, {_r('score')} AS score FROM scored",
-        "answer_select": f"WITH {_CHOSEN} SELECT query_id, n_chosen AS n, idx, sent FROM chosen",
-        "answer_text": f"""WITH {_CHOSEN}, said AS (SELECT query_id, string_agg(sent || ' [' || marker || ']', ' ' ORDER BY place) AS said FROM marked GROUP BY query_id),
+        "answer_pool": f"{_POOL} SELECT query_id, idx, doc_id, sent FROM pool",
+        "answer_bm25": f"{_CHOSEN} SELECT query_id, idx, {_r('score')} AS score FROM scored",
+        "answer_select": f"{_CHOSEN} SELECT query_id, n_chosen AS n, idx, sent FROM chosen",
+        "answer_text": f"""{_CHOSEN}, said AS (SELECT query_id, string_agg(sent || ' [' || marker || ']', ' ' ORDER BY place) AS said FROM marked GROUP BY query_id),
 sv AS (SELECT query_id, string_agg('[' || v || ']', ' ' ORDER BY v) AS marks FROM seen GROUP BY query_id)
 SELECT query_id, coalesce(said, '{VISUAL_ANSWER[0]}' || marks || '{VISUAL_ANSWER[1]}', '{NO_ANSWER}') AS answer FROM q LEFT JOIN said USING (query_id) LEFT JOIN sv USING (query_id)""",
-        "answer_citations": f"""WITH {_CHOSEN}, cited AS (SELECT query_id, marker, doc_id, unit_id, modality, substr(sent, 1, 200) AS snippet, coalesce(image_path, '') AS image_path FROM marked WHERE place = opens),
+        "answer_citations": f"""{_CHOSEN}, cited AS (SELECT query_id, marker, doc_id, unit_id, modality, substr(sent, 1, 200) AS snippet, coalesce(image_path, '') AS image_path FROM marked WHERE place = opens),
 n AS (SELECT query_id, max(marker) AS c FROM cited GROUP BY query_id)
 SELECT * FROM cited UNION ALL SELECT query_id, coalesce(c, 0) + v, doc_id, unit_id, modality, '{VISUAL_SNIPPET}', coalesce(image_path, '') FROM seen LEFT JOIN n USING (query_id)
 WHERE c IS NULL OR v <= greatest(0, 4 - c)""",
-        "llm_prompt": f"""WITH {_POOL}, b AS (SELECT query_id, rank, '[' || (rank + 1) || '] (doc=' || doc_id || ', page=0, ' || modality || ')' || chr(10) ||
-  CASE WHEN text <> '' THEN substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 800) ELSE '[image tile, page 0 — see attached image ' || (rank + 1) || ']' END AS b, image_path FROM ahits)
+        "llm_prompt": f"""{_POOL}, b AS (SELECT query_id, rank, '[' || (rank + 1) || '] (doc=' || doc_id || ', page=' || page || ', ' || modality || ')' || chr(10) ||
+  CASE WHEN text <> '' THEN substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 800) ELSE '[image tile, page ' || page || ' — see attached image ' || (rank + 1) || ']' END AS b, image_path FROM ahits)
 SELECT query_id, '{PROMPT_HEAD}' || any_value(query) || chr(10) || chr(10) || 'Sources:' || chr(10) || string_agg(b, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Answer:' AS prompt,
   coalesce(string_agg(image_path, ',' ORDER BY rank), '') AS images FROM q JOIN b USING (query_id) GROUP BY query_id""",
         "index_build": f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, count(*) AS units, sum(length(text))::BIGINT AS chars FROM chunks GROUP BY doc_id",
@@ -400,8 +405,6 @@ FROM (VALUES (1::BIGINT), (1000000), (10000000)) p(pages), (VALUES ('text', 7680
         "human_bytes": """SELECT n, CASE WHEN n < 1024 THEN n || ' B' ELSE format('{:.1f} ', n / 1024.0::DOUBLE ** p) || ['KB', 'MB', 'GB', 'TB', 'PB'][p] END AS shown
 FROM (SELECT n, least(5, floor(log2(n) / 10))::INT AS p FROM (SELECT pow(5, n_nationkey)::BIGINT AS n FROM nation))""",
         "event_windows": f"""SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS events, {_r('sum(value)', 4)} AS value FROM events GROUP BY 1, 2""",
-        "ingest_prepare": f"""WITH {_MANIFEST}, v AS (SELECT page_id, {_html_text('html')} AS text FROM pages),
-rich AS (SELECT page_id FROM v WHERE greatest(CASE WHEN {_LIKE_HTML("text")} THEN {_html_score("text")} ELSE 0.0 END, {_LAYOUT}) >= 0.35) SELECT doc_id, title, CASE WHEN page_id % 5 = 0 OR own IS NOT NULL OR page_id IN (SELECT page_id FROM rich) THEN doc_id || '_p0_t0=/a.png,' || doc_id || '_p0_t1=/' || doc_id || '.png' ELSE '' END AS tiles FROM m""",
         "eval_report": f"""WITH {_JUDGED}, both_ AS (SELECT 'vision' AS mode, * FROM ranked UNION ALL SELECT 'half', * FROM ranked WHERE rank % 2 = 0), {_measured('both_', 'mode')}
 SELECT mode, k::BIGINT AS k, {_r('avg(hit)')} AS hit, {_r('avg(recall)')} AS recall, {_r('avg(precision)')} AS precision, {_r('avg(rr)')} AS mrr, {_r('avg(ndcg)')} AS ndcg FROM measured GROUP BY ALL""",
         "route_train": f"WITH RECURSIVE {_fit_sql()} SELECT unnest(['bias', 'text', 'vision', 'codeish', 'numeric', 'length']) AS feature, unnest(list_transform(w, lambda x: round(x, 6))) AS weight FROM fitted",
@@ -420,6 +423,8 @@ SELECT mode, k::BIGINT AS k, {_r('avg(hit)')} AS hit, {_r('avg(recall)')} AS rec
 v AS (SELECT page_id, {_html_text('html')} AS text FROM pages),
 rich AS (SELECT page_id FROM v WHERE greatest(CASE WHEN {_LIKE_HTML("text")} THEN {_html_score("text")} ELSE 0.0 END, {_LAYOUT}) >= 0.35),
 tiles AS (SELECT doc_id, unnest(['/a.png', '/' || doc_id || '.png']) AS image_path, page_id FROM m WHERE page_id % 5 = 0 OR own IS NOT NULL OR page_id IN (SELECT page_id FROM rich))"""
+    out["ingest_prepare"] = f"""{pieces} SELECT c.doc_id, c.ord, m.title, c.text, CASE WHEN t.doc_id IS NULL THEN '' ELSE c.doc_id || '_p0_t0=/a.png,' || c.doc_id || '_p0_t1=/' || c.doc_id || '.png' END AS tiles
+FROM chunks c JOIN m ON m.doc_id = c.doc_id LEFT JOIN (SELECT DISTINCT doc_id FROM tiles) t ON t.doc_id = c.doc_id"""
     out["ingest_batch"] = f"""{pieces} SELECT doc_id, image_path, duplicate_count FROM (SELECT arg_min(doc_id, page_id) AS doc_id, image_path, count(*) AS duplicate_count FROM tiles GROUP BY image_path)
 UNION ALL SELECT doc_id, 'text', count(*) FROM chunks GROUP BY doc_id"""
     out["ingest_stats"] = f"""{pieces} SELECT (SELECT count(*) FROM m) AS documents, (SELECT count(*) FROM m WHERE own IS NOT NULL) AS text_docs, (SELECT count(*) FROM m WHERE own IS NULL) AS html_docs,

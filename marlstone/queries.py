@@ -82,10 +82,13 @@ def text_richness(spark, sf):
 
 
 def pixel_decision(spark, sf):
-    html = _media(F.col("page_id"), F.col("html"))
-    image = F.when(F.col("page_id") % 3 == 0, F.col("page_id") % 10 / 10.0)
-    rows = selection.decide(_table(spark, sf, "pages"), text=F.when(F.col("page_id") % 5 != 0, F.lit("plain words")), html=html, image_score=image)
-    return rows.select("page_id", _r("richness").alias("richness"), "index_pixels")
+    """Pages judged by their whole text, their markup and an image score, each of which some pages lack."""
+    page = F.col("page_id")
+    rows = _table(spark, sf, "pages").select(
+        "page_id", F.when(page % 5 != 0, units.html_to_text(F.col("html"))).alias("text"), F.when(page % 2 != 0, _media(page, F.col("html"))).alias("html"), F.when(page % 3 == 0, page % 10 / 10.0).alias("image")
+    )
+    judged = selection.decide(rows, text=F.col("text"), html=F.col("html"), image_score=F.col("image"))
+    return judged.select("page_id", _r("richness").alias("richness"), "index_pixels")
 
 
 # units
@@ -304,37 +307,31 @@ def route_train(spark, sf):
     return spark.createDataFrame([(n, round(x, 6)) for n, x in zip(cues.FEATURES, w)], "feature string, weight double")
 
 
-# rerank and answers: every question's candidates are 30 documents
+# rerank and answers: every question's candidates are its hits of the search over all units
 
 
-def _candidates(spark, sf):
-    q = _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    n = _table(spark, sf, "documents").count()
-    spread = q.select("query_id", F.posexplode(F.sequence(F.lit(0), F.lit(29))).alias("pos", "k")).select("query_id", "pos", ((F.col("query_id") * 31 + F.col("k") * 17) % n).alias("doc_id"))
-    d = _table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 11 == 5, F.lit("")).otherwise(F.col("text")).alias("text"))
-    return q, spread.join(d, "doc_id")
+def _asked_hits(spark, sf, top_k, **how):
+    """(questions, hits): the hits are found once and kept as a table, since the steps behind them read them several times."""
+    place = fixtures.scratch(spark, "hits")
+    _hits(spark, sf, top_k=top_k, **how).write.parquet(place)
+    return _table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), spark.read.parquet(place)
 
 
 def bm25_rerank(spark, sf):
-    q, c = _candidates(spark, sf)
-    return rerank.bm25(q, c.withColumnRenamed("doc_id", "cand_id")).select("query_id", F.col("cand_id").alias("doc_id"), _r("bm25").alias("bm25"))
+    q, hits = _asked_hits(spark, sf, CONFIG.rerank.depth)
+    c = hits.select("query_id", F.col("doc_id").alias("cand_id"), rerank.candidate_text(hits).alias("text"))
+    return rerank.bm25(q, c).select("query_id", F.col("cand_id").alias("doc_id"), _r("bm25").alias("bm25"))
 
 
 def rerank_blend(spark, sf):
-    q, c = _candidates(spark, sf)
-    out = rerank.rerank(q, c.withColumn("score", 1 / (60.0 + F.col("pos"))), 0.5, 10)
+    q, hits = _asked_hits(spark, sf, CONFIG.rerank.depth, fusion_method="calibrated")
+    out = rerank.rerank(q, hits, 0.8, 10)
     return out.select("query_id", F.col("pos").cast("long").alias("pos"), "doc_id", _r("score").alias("score"), (F.col("c_rerank") + 0.0).alias("c_rerank"))
 
 
 def _answer_hits(spark, sf):
-    q, c = _candidates(spark, sf)
-    hits = c.where("pos < 5").select(
-        "query_id", F.col("pos").alias("rank"), F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("u"), F.col("doc_id")).alias("unit_id"),
-        F.when(F.col("text") == "", "vision").otherwise("text").alias("modality"), F.lit(0).alias("page"), "text",
-        F.when(F.col("text") == "", F.concat(F.lit("/tiles/"), F.col("doc_id"))).alias("image_path"),
-        F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("title"), F.concat(F.lit("A title tells what document "), F.col("doc_id"), F.lit(" shows.")))).alias("meta"),
-    )
-    return q, hits
+    q, hits = _asked_hits(spark, sf, CONFIG.answers.hits)
+    return q, hits.withColumnRenamed("pos", "rank")
 
 
 def _answering(spark, sf):
@@ -422,9 +419,9 @@ def _manifest(spark, sf):
 
 def ingest_prepare(spark, sf):
     chunks, tiles = ingest.prepare(_manifest(spark, sf), CONFIG)
-    c = chunks.where("ord = 0").select("doc_id", F.coalesce(F.col("meta")["title"], F.lit("")).alias("title"))
+    c = chunks.select("doc_id", F.col("ord").cast("long").alias("ord"), F.coalesce(F.col("meta")["title"], F.lit("")).alias("title"), "text")
     t = tiles.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat("unit_id", F.lit("="), "image_path"))), ",").alias("tiles"))
-    return c.join(t, "doc_id", "left").select("doc_id", "title", F.coalesce("tiles", F.lit("")).alias("tiles"))
+    return c.join(t, "doc_id", "left").withColumn("tiles", F.coalesce("tiles", F.lit("")))
 
 
 def ingest_batch(spark, sf):
