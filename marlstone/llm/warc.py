@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import new_path
 
-#: bytes of an archive from which a task begins another one; bounds, but for one record more, what a reading task holds
+#: bytes of an archive from which a task begins another one; bounds, but for one record more, what a reading task holds of a file
 ARCHIVE_BYTES = 32_000_000
+#: bytes of rows from which the reader hands on a batch; an archive may hold a thousand times its own bytes
+BATCH_BYTES = 8_000_000
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = b"\r\n\r\n"
 #: fixed value: the profile of a revisit with the same payload
@@ -233,6 +235,13 @@ def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
     """
     records: list[dict] = []
     gaps: list[tuple[int, int, str]] = []
+    for x in salvaged(data):
+        (records if isinstance(x, dict) else gaps).append(x)
+    return records, gaps
+
+
+def salvaged(data: bytes) -> Iterator[dict | tuple[int, int, str]]:
+    """The records and gaps of ``salvage`` as they are met; only those of one gzip member are held at a time."""
     at = 0
     gap, reason = None, ""
     partial: set[tuple] = set()  # records of damaged members
@@ -258,7 +267,7 @@ def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
             found = [r for r, k in zip(found, own) if k not in partial]
             if fault:
                 partial.update(own)
-        records += found
+        yield from found
         if fault:
             if gap is None:
                 gap, reason = at, fault
@@ -266,13 +275,12 @@ def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
             at = min(nexts, default=len(data))
             continue
         if gap is not None:
-            gaps.append((gap, at, reason))
+            yield gap, at, reason
             gap = None
-        gaps += [(at, to, f"in the member, bytes {a} to {b}: {why}") for a, b, why in inside]
+        yield from ((at, to, f"in the member, bytes {a} to {b}: {why}") for a, b, why in inside)
         at = to
     if gap is not None:
-        gaps.append((gap, len(data), reason))
-    return records, gaps
+        yield gap, len(data), reason
 
 
 ROWS = (
@@ -284,29 +292,40 @@ ROWS = (
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """A row per record of the archives below ``path``, and one per quarantined gap, whose ``quarantine`` says why.
 
-    ``payloads=False`` leaves the payload null where only digests are needed. Archives are read whole, one
-    at a time, so a task needs memory for one archive; the writer bounds them.
+    ``payloads=False`` leaves the payload null where only digests are needed. The bytes of an archive are
+    read whole, but inflated member by member, and rows go on in batches of BATCH_BYTES: a task needs memory for
+    the archives as they are stored, whose size the writer bounds, one member and one batch.
     """
     names = [x.split()[0] for x in ROWS.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary(), pa.string()]
 
     def rows(file: str, data: bytes) -> Iterator[tuple]:
-        records, gaps = salvage(data)
-        for r in records:
+        for r in salvaged(data):
+            if isinstance(r, tuple):
+                start, end, why = r
+                yield (file, start, end - start, *[None] * 7, why)
+                continue
             h = r["headers"]
             yield (
                 file, r["offset"], None, r["type"], h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"),
                 r["digest"], r["size"], r["payload"] if payloads else None, None,
             )
-        for start, end, why in gaps:
-            yield (file, start, end - start, *[None] * 7, why)
+
+    def packed(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = list(rows(file, content.as_py()))
+                found, size = [], 0
+                for row in rows(file, content.as_py()):
+                    found.append(row)
+                    size += sum(len(x) for x in row if isinstance(x, (str, bytes)))
+                    if size >= BATCH_BYTES:
+                        yield packed(found)
+                        found, size = [], 0
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
+                    yield packed(found)
 
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, ROWS)
 

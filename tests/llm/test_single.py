@@ -1,7 +1,9 @@
 import gzip
 import random
 import re
+import tracemalloc
 import zlib
+from unittest import mock
 
 import numpy as np
 import pyarrow as pa
@@ -436,6 +438,29 @@ def test_warc_payloads_and_gaps(spark, tmp_path):
     assert [bytes(r.payload) if r.payload is not None else None for r in rows] == [b"<p>x</p>", None, b"two"] and rows[1].length == 6 and rows[1].quarantine
 
 
+@pytest.mark.parametrize("payloads", [False, True])
+def test_reading_does_not_hold_what_an_archive_inflates_to(payloads):
+    data = b"".join(warc.gzip_member(record(i, b"%d " % i + b"x" * 1_000_000)) for i in range(100)) + b"junk"
+    assert len(data) < 1_000_000
+    spark = mock.MagicMock()
+    warc.read_warc(spark, "", payloads)
+    run = spark.read.format().option().load().select().mapInArrow.call_args[0][0]
+    tracemalloc.start()
+    try:
+        seen, reasons, most = [], [], 0
+        for batch in run(iter([pa.RecordBatch.from_arrays([pa.array(["f"]), pa.array([data], pa.binary())], ["path", "content"])])):
+            assert batch.nbytes < 20_000_000
+            seen += [(r["offset"], r["payload_bytes"], r["payload"] and len(r["payload"])) for r in batch.select(["offset", "payload_bytes", "payload"]).to_pylist()]
+            reasons += batch.column("quarantine").drop_null().to_pylist()
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(seen) == 101 and reasons == ["no version line"] and seen == sorted(seen, key=lambda x: x[0])
+    assert [n for _, n, _ in seen[:100]] == [len(b"%d " % i) + 1_000_000 for i in range(100)]
+    assert [n for _, _, n in seen[:100]] == [n if payloads else None for _, n, _ in seen[:100]]
+    assert most < 40_000_000
+
+
 # URLs
 
 
