@@ -59,6 +59,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power_table(size)
 
 
+def forget_powers() -> None:
+    """Free the tables of powers; 16 MB at least."""
+    _power_table.cache_clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser: spreads every input bit over the word."""
     x = x ^ (x >> U(30))

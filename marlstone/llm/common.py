@@ -16,27 +16,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bytesops import forget_powers
+
 _own_dir: dict[str, str] = {}
 _worker: dict[str, object] = {}
 Held = TypeVar("Held")
 
 
 def worker_state(name: str, make: Callable[[], Held]) -> Held:
-    """What an operator keeps from task to task in a Python worker. Spark uses workers again for other operators, so what another one left is freed first."""
+    """What an operator keeps from task to task in a Python worker. Spark uses workers again for other operators, so what others left is freed first, kept or only used."""
     if name not in _worker:
-        free_worker()
+        _worker.clear()
+        forget_powers()
+        _release()
         _worker[name] = make()
+        _release()
     return _worker[name]
 
 
+def _release() -> None:
+    """Give memory that is free in this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim:
+        trim(0)
+
+
 def free_worker() -> None:
     """Give back what operators kept in this Python worker; the first thing that a task with large arrays does."""
     if _worker:
         _worker.clear()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
-        if trim:
-            trim(0)
+        _release()
 
 
 def shared_dir(spark: SparkSession) -> str:

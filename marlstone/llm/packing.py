@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,12 @@ END_ID = 1
 BIN_PIECES = 50_000
 #: what may stand behind a word without a part in common with it
 SIGNS = frozenset(string.punctuation)
-#: distinct words whose ids a worker remembers
-CACHE_WORDS = 1_600_000
+#: distinct words whose ids a worker remembers; half of them just fit a dict of 2^19 places
+CACHE_WORDS = 690_000
+#: words to a call of the tokenizer, whose results are some hundred bytes each and more
+ENCODED = 2_000
+#: bytes of texts that are encoded at once
+SLICE = 4_000_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
@@ -47,8 +52,9 @@ class WordEncoder:
     The tokenizer never joins across a blank or a line feed and takes no notice of case, so a text's ids are
     the ids of its lower-cased words in a row. Only texts whose characters all lie below U+0100,
     where lower case and normal form are plain, are lower-cased here; a text that may hold a special
-    token's string goes to the tokenizer whole. The memory has two generations of half the bound
-    each: words that come up again move to the younger one. New words in plain lower case are encoded without the steps that cannot change them:
+    token's string goes to the tokenizer whole. Arrow cuts the texts and puts the ids of their words in a row, so Python
+    meets each distinct word of a call once. The memory has two generations of half the bound
+    each: words that come up again move to the younger one. It holds ids in two bytes each where all ids fit. New words in plain lower case are encoded without the steps that cannot change them:
     the normaliser, and for words of letters alone the search for parts.
     """
 
@@ -59,27 +65,27 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.plain, self.letters = self._shortened()
         self.marks = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.kind = "H" if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else "I"
         self.half = bound // 2
         self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
     def _shortened(self) -> tuple:
-        """Tokenizers for printable lower-case ASCII words and for lower-case words of letters below U+0100; the whole one where its steps are not those that these words pass unchanged."""
+        """Tokenizers for printable lower-case ASCII words and for lower-case words of letters below U+0100; the whole one where its steps are not those that these words pass unchanged. All share one model."""
         from tokenizers import Tokenizer
 
-        steps = json.loads(self.tokenizer.to_str())
-        normalizer, cutter = steps["normalizer"] or {}, steps["pre_tokenizer"] or {}
+        normalizer, cutter = (json.loads(part.__getstate__()) if part else {} for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
         kinds = [n["type"] for n in normalizer.get("normalizers", [])], [p["type"] for p in cutter.get("pretokenizers", [])]
         if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or "[\\p{L}]+|" not in str(cutter["pretokenizers"][0]["pattern"].get("Regex")):
             return self.tokenizer, self.tokenizer
-        steps["normalizer"] = None
-        plain = Tokenizer.from_str(json.dumps(steps))
-        steps |= {"pre_tokenizer": cutter["pretokenizers"][1], "added_tokens": []}
-        return plain, Tokenizer.from_str(json.dumps(steps))
+        plain, letters = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+        plain.pre_tokenizer = self.tokenizer.pre_tokenizer
+        letters.pre_tokenizer = self.tokenizer.pre_tokenizer[1]
+        return plain, letters
 
-    @staticmethod
-    def _ids(tokenizer, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, tokenizer, texts: list[str]) -> list[bytes]:
+        parts = (tokenizer.encode_batch_fast(texts[at : at + ENCODED], add_special_tokens=False) for at in range(0, len(texts), ENCODED))
+        return [array(self.kind, e.ids).tobytes() for part in parts for e in part]
 
     def _learn(self, words: list[str]) -> None:
         """Put new words' ids in memory. A word of letters with one sign behind it has the ids of both, one after the other."""
@@ -111,34 +117,50 @@ class WordEncoder:
         sign = dict(zip(signs, self._ids(self.plain, signs)))
         self.known.update((w, self.known[base] + sign[w[-1]]) for w, base in signed)
 
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, new ones learned."""
+        found = list(map(self.known.get, words))
+        gaps = [i for i, held in enumerate(found) if held is None]
+        if len(self.known) + len(gaps) > self.half:
+            self.old, self.known = self.known, {"": b""}
+            self.known.update((w, held) for w, held in zip(words, found) if held is not None)
+        new = []
+        for i in gaps:
+            held = self.old.get(words[i])
+            if held is None:
+                new.append(words[i])
+            else:
+                self.known[words[i]] = held
+        self._learn(new)
+        for i in gaps:
+            found[i] = self.known[words[i]]
+        return found
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        distinct: set[str] = set()
+        whole: dict[int, str] = {}
+        lower: list[str] = []
         for text in texts:
             if any(m in text for m in self.marks):
-                split.append(None)
-                continue
+                whole[len(lower)] = text
+                text = ""
             try:
                 text.encode("latin-1")
                 text = text.lower()
             except UnicodeEncodeError:
                 pass
-            split.append(text.replace("\n", " ").split(" "))
-            distinct.update(split[-1])
-        missing = distinct.difference(self.known)
-        if len(self.known) + len(missing) > self.half:
-            self.old, self.known = self.known, {"": b""}
-            missing = distinct - {""}
-        new = []
-        for w in missing:
-            held = self.old.get(w)
-            if held is None:
-                new.append(w)
-            else:
-                self.known[w] = held
-        self._learn(new)
-        find = self.known.__getitem__
-        return [self._ids(self.tokenizer, [t])[0] if w is None else b"".join(map(find, w)) for t, w in zip(texts, split)]
+            lower.append(text.replace("\n", " "))
+        cells = pc.split_pattern(pa.array(lower, pa.large_string()), " ")
+        if not len(cells):
+            return []
+        words = cells.values.dictionary_encode()
+        row = pa.array(self._of_words(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
+        edge = np.frombuffer(row.buffers()[1], np.int64)[cells.offsets.to_numpy()].tolist()
+        flat = np.frombuffer(row.buffers()[2] or b"", self.kind)
+        size = flat.itemsize
+        out = [flat[a // size : b // size].astype("<u4").tobytes() for a, b in zip(edge, edge[1:])]
+        for at, text in whole.items():
+            out[at] = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 def token_pieces(
@@ -156,7 +178,7 @@ def token_pieces(
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for first, last, _, _ in text_slices(batch.column(1), 1_000_000):
+            for first, last, _, _ in text_slices(batch.column(1), SLICE):
                 texts = [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()]
                 out: list[tuple] = []
                 for doc_id, ids in zip(doc_ids[first:last], encoder.ids(texts)):

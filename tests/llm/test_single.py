@@ -1,6 +1,9 @@
 import gzip
+import os
 import random
 import re
+import subprocess
+import sys
 import tracemalloc
 import zlib
 from unittest import mock
@@ -10,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import language, packing, quality, sentence_pieces, url_filter, warc
+from marlstone.llm import bytesops, common, language, packing, quality, sentence_pieces, url_filter, warc
 from tests.llm.test_dedup import frame, prose
 
 ODD = {0: None, 1: "", 2: " \n", 3: "plain words here", 4: "plain words here", 5: "Ünïcode – 日本 😀", 6: "x" * 5000, 7: "a " * 4000}
@@ -95,6 +98,51 @@ def test_word_memory_is_bounded():
     assert len(e.known) <= 150
 
 
+def test_words_without_ids_and_with_wide_ids():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["<|endoftext|>", "", "ab  ab\nÉa, 日本 " * 3, "a" * 300]
+    wide = packing.WordEncoder(packing.default_tokenizer())
+    assert wide.kind == "H"
+    wide.kind = "I"
+    for e in (packing.WordEncoder(packing.default_tokenizer()), wide):
+        assert e.ids([]) == [] and e.ids([""]) == [b""] and e.ids(["", " \n"]) == [b"", b""]
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.ids(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+FULL_MEMORY = """
+import numpy, re
+from marlstone.llm import packing
+
+def held():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+before = held()
+e = packing.WordEncoder(packing.default_tokenizer())
+r = numpy.random.default_rng(0)
+while not e.old or len(e.known) < 0.9 * e.half:
+    letters = r.integers(97, 123, (20_000, 10), numpy.uint8)
+    letters[:, 9] = 32
+    e.ids([letters.tobytes().decode()])
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="the system does not tell what a process holds")
+def test_full_word_memory_is_small():
+    out = subprocess.run([sys.executable, "-c", FULL_MEMORY], check=True, capture_output=True, text=True, timeout=300).stdout
+    assert float(out) < 250, out
+
+
+def test_kept_state_begins_with_free_memory():
+    bytesops.powers(1 << 21)
+    assert common.worker_state("test", list) is common.worker_state("test", list)
+    assert bytesops._power_table.cache_info().currsize == 0
+    common.free_worker()
+    assert not common._worker
+
+
 # SentencePiece
 
 
