@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +150,26 @@ def test_weigh(spark):
     assert search.weigh(q, EngineConfig().with_settings(enable_router=False)).first().vision_weight == 1
     with pytest.raises(ValueError):
         search.weigh(q, EngineConfig(), "smell")
+
+
+@pytest.mark.parametrize("ids", (str, int))
+def test_task_topk_in_bounds(monkeypatch, ids):
+    """A task's own top k beside a plain one, with ties, a vector that is no number, and few scores at once; only k rows a query come out."""
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(700, 4)), 1)
+    x[::3] = x[0]
+    x[5] = np.nan
+    q = topk._unit(rng.normal(size=(9, 4)))
+    names = [ids(i * 37 % 1000) for i in range(700)]
+    flat = lambda v: pa.FixedSizeListArray.from_arrays(pa.array(v.reshape(-1)), 4).cast(pa.list_(pa.float64()))
+    batches = [pa.RecordBatch.from_arrays([pa.array(names[a : a + 90]), pa.array(names[a : a + 90]), flat(x[a : a + 90])], ["unit_id", "doc_id", "embedding"]) for a in range(0, 700, 90)]
+    monkeypatch.setattr(topk, "_SCORES", 50)
+    monkeypatch.setattr(topk, "_WAITING", 20)
+    most, whole = [], topk._unit
+    monkeypatch.setattr(topk, "_unit", lambda v: most.append(len(v)) or whole(v))
+    got = topk._task_topk(iter(batches), q, 6)
+    score = q @ whole(x).T
+    for i in range(9):
+        rank = sorted(range(700), key=lambda j: (-np.inf if np.isnan(score[i, j]) else -round(score[i, j], 9), names[j]))[:6]
+        assert [r["unit_id"] for r in got.to_pylist() if r["query"] == i] == [names[j] for j in rank]
+    assert len(got) == 54 and max(most) * len(q) <= 50 and topk._task_topk(iter([]), q, 6) is None
