@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +61,27 @@ def test_tile_geometry(spark):
     pages = spark.createDataFrame([("d", 0, 800, 1300), ("e", 1, 10, 1)], "doc_id string, page int, width int, height int")
     rows = units.tile_geometry(pages).orderBy("doc_id", "row").collect()
     assert [(r.unit_id, r.y0, r.y1) for r in rows] == [("d_p0_t0", 0, 512), ("d_p0_t1", 448, 960), ("d_p0_t2", 896, 1300), ("e_p1_t0", 0, 1)]
+
+
+def test_tabular_lines_beside_the_plain_rule(spark):
+    rng = random.Random(4)
+    lines = ["".join(rng.choice(" \t|1239,.-ab_é ٣") for _ in range(rng.randrange(14))) for _ in range(1500)]
+    lines += ["".join(rng.choice(["  ", " ", "a", "12", "1,2.5,6", ".", "-3", "|"]) for _ in range(rng.randrange(10))) for _ in range(1500)]
+
+    def plain(line):
+        stripped = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+        return (F.length(stripped) >= 4) & (
+            (F.regexp_count(stripped, F.lit(r"\|")) >= 2)
+            | (F.regexp_count(stripped, F.lit(r"(?U)(?<![\w.])-?\d[\d,]*\.?\d*")) >= 3)
+            | (F.regexp_count(line, F.lit(r"(?U)\S {2,}\S")) >= 2)
+        )
+
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", text.tabular_line(F.col("line")).alias("got"), plain(F.col("line")).alias("plain")).collect()
+    assert 100 < sum(r.plain for r in rows) < 2900 and [r.line for r in rows if r.got != r.plain] == []
+
+
+def test_characters_are_counted_without_a_string_for_each(spark):
+    docs = spark.createDataFrame([("a1 𝔸é٣\n|x|y|",), ("",), (None,), (" \n ",)], "text string")
+    rows = docs.select(text.text_richness(F.col("text")))
+    assert [round(r[0], 6) for r in rows.collect()] == [1, 0, 0, 0]
+    assert r"\p{L}, 0)" not in rows._jdf.queryExecution().executedPlan().toString()
