@@ -11,6 +11,7 @@ from marlstone.engine import Engine
 from marlstone.functions.formats import table
 from marlstone.functions.images import png, read_png
 from marlstone.operators import answer, dedup, embedding, metrics, rerank, routing
+from marlstone.plans import ingest
 from marlstone.sources.index import TEXT_UNITS, VISION_UNITS, VersionedIndex
 from marlstone.sources.manifests import read_examples, tile_contents
 
@@ -247,3 +248,11 @@ def test_hash_sums_of_long_lists(spark, monkeypatch):
     got = embedding._hash_sums(pa.array(lists, pa.list_(pa.string())))
     one = lambda w: np.frombuffer(__import__("hashlib").sha256(w.encode()).digest(), np.uint8) - 127.5
     assert got == pytest.approx(np.array([sum((one(w) for w in x or []), np.zeros(32)) for x in lists]))
+
+
+def test_pages_are_cleaned_once_and_go_to_python_in_small_batches(spark):
+    """An Arrow batch holds 64 MB of pages; a filter names the text of a page some thirty times."""
+    docs = spark.createDataFrame([("a", "", "<p>x</p>", "", 0, ["/a.png"], True, {}, 0)], "doc_id string, text string, html string, title string, page int, image_paths array<string>, apply_selection boolean, meta map<string,string>, seq long")
+    for rows in ingest.prepare(docs, EngineConfig()):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString() + rows._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan and plan.count("{3,}") <= 4
