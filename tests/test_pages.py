@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 
@@ -256,3 +257,23 @@ def test_pages_are_cleaned_once_and_go_to_python_in_small_batches(spark):
     for rows in ingest.prepare(docs, EngineConfig()):
         plan = rows._jdf.queryExecution().optimizedPlan().toString() + rows._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan and plan.count("{3,}") <= 4
+
+
+def test_no_images_no_shuffle(spark):
+    """Where no image can be read, pages are not shuffled to look for one."""
+    docs = spark.createDataFrame([("a", ["/nowhere/a.png"], 0)], "doc_id string, image_paths array<string>, seq long")
+    contents = tile_contents(spark, docs.select(F.explode("image_paths").alias("image_path")))
+    scored = ingest.with_image_score(docs, contents)
+    assert contents.count() == 0 and [r.image_score for r in scored.collect()] == [None]
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "content" not in plan
+
+
+def test_image_vectors_beside_the_plain_rule(spark):
+    rows = [(b"abc" * 9, "/x.png"), (None, "/y é.png"), (b"", "/z.png"), (bytes(range(256)) * 2, "/w.png")]
+    files = spark.createDataFrame(rows, "content binary, path string")
+    column = embedding.hash_image_embed(F.col("content"), F.col("path"), 300)
+    for (raw, path), got in zip(rows, files.select(column.alias("v")).collect()):
+        v = np.resize(np.bincount(np.frombuffer(path.encode() if raw is None else raw, np.uint8), minlength=256).astype(float), 300)
+        v += 0.01 * np.resize(np.frombuffer(hashlib.sha256(path.encode()).digest(), np.uint8) - 127.5, 300)
+        assert got.v == list(v / np.linalg.norm(v))
