@@ -277,3 +277,16 @@ def test_image_vectors_beside_the_plain_rule(spark):
         v = np.resize(np.bincount(np.frombuffer(path.encode() if raw is None else raw, np.uint8), minlength=256).astype(float), 300)
         v += 0.01 * np.resize(np.frombuffer(hashlib.sha256(path.encode()).digest(), np.uint8) - 127.5, 300)
         assert got.v == list(v / np.linalg.norm(v))
+
+
+def test_vectors_are_scaled_in_parts(spark, monkeypatch):
+    """Batches over the bound give the vectors of one text at a time, and tokens' digests are kept as bytes."""
+    texts = [" ".join(f"w{i * j % 50}" for j in range(i % 9)) for i in range(40)]
+    monkeypatch.setattr(embedding, "_ROWS", 7)
+    monkeypatch.setattr(embedding, "_TOKENS", 11)
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).select("i", embedding.hash_embed(F.col("t"), 40).alias("v")).orderBy("i").collect()
+    for row, text in zip(got, texts):
+        v = np.zeros(40)
+        for word in text.split():
+            v += np.resize(np.frombuffer(hashlib.sha256(word.encode()).digest(), np.uint8) - 127.5, 40)
+        assert row.v == pytest.approx(list(v / (np.linalg.norm(v) or 1)), abs=1e-12)
